@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("pii", "language", "quality")
+_MODULES = ("pii", "language", "secrets", "licenses", "neighbours", "fingerprints", "neardup", "quality", "tokenizer", "packing")
 
 
 def queries() -> dict:
