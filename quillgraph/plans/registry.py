@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 FLAGSHIP = "rank_candidates"
-_MODULES: tuple[str, ...] = ()
+_MODULES = ("scoring", "citing")
 
 
 def queries() -> dict:
