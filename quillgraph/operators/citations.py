@@ -64,12 +64,12 @@ def citation_graph(papers: DataFrame, refs: DataFrame) -> DataFrame:
     one = lambda c: F.coalesce(c, F.lit(1))
     direct = direct_citations(papers, refs)
     confidence = F.least(F.lit(0.99), edge_confidence(one("sa"), one("sb"), F.lit(0.85)) + 0.03 * (F.col("evidence") - 1))
-    cites = ends(direct).select("src", "dst", F.lit("citation").alias("etype"), F.lit(1.0).alias("weight"), "evidence", F.lit(None).cast("long").alias("shared"), F.round(confidence, 3).alias("confidence"))
+    cites = ends(direct).select("src", "dst", F.lit("citation").alias("etype"), F.lit(1.0).alias("weight"), "evidence", F.lit(None).cast("long").alias("shared"), F.round(confidence + 1e-9, 3).alias("confidence"))
     linked = direct.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     pairs = coupling(own).join(linked, ["a", "b"], "left_anti")
     both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e"), "shared", F.round("weight", 4).alias("weight"))
     coupled = ends(both.select("e.*", "shared", "weight")).select(
-        "src", "dst", F.lit("bib_coupling").alias("etype"), "weight", F.lit(None).cast("long").alias("evidence"), "shared", F.round(edge_confidence(one("sa"), one("sb"), F.col("weight")), 3).alias("confidence")
+        "src", "dst", F.lit("bib_coupling").alias("etype"), "weight", F.lit(None).cast("long").alias("evidence"), "shared", F.round(edge_confidence(one("sa"), one("sb"), F.col("weight")) + 1e-9, 3).alias("confidence")
     )
     return cites.unionByName(coupled)
 

@@ -84,7 +84,6 @@ def pagerank(nodes: DataFrame, edges: DataFrame, restart: DataFrame | None = Non
 
     ``restart``: (id, share), shares summing to one; uniform without. What dangling nodes hold goes to the restart.
     """
-    spark = nodes.sparkSession
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("rank"))
@@ -93,23 +92,26 @@ def pagerank(nodes: DataFrame, edges: DataFrame, restart: DataFrame | None = Non
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     base = settled(base.join(out, base.id == out.src, "left").select("id", share.alias("p"), F.col("total").isNull().alias("dangling")), "rank-nodes")
     arcs = settled(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("part")), "rank-arcs")
+    loose = base.where("dangling").limit(1).count() > 0
     ranks = base.select("id", F.lit(1.0 / n).alias("rank"))
     for i in range(rounds):
-        lost = ranks.join(base.where("dangling"), "id").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
+        # One number a round; without dangling nodes nothing is lost and rounds need no look at the state.
+        lost = ranks.join(base.where("dangling"), "id").agg(F.sum("rank")).first()[0] if loose else 0.0
         flow = ranks.join(arcs, ranks.id == arcs.src).groupBy("dst").agg(F.sum(F.col("rank") * F.col("part")).alias("flow"))
-        new = base.join(flow, base.id == flow.dst, "left").crossJoin(F.broadcast(lost))  # one row
-        ranks = new.select("id", (alpha * (F.coalesce("flow", F.lit(0.0)) + F.col("lost") * F.col("p")) + (1 - alpha) * F.col("p")).alias("rank"))
-        if (i + 1) % ROUNDS_PER_WRITE == 0 and i + 1 < rounds:
+        new = base.join(flow, base.id == flow.dst, "left")
+        ranks = new.select("id", (alpha * (F.coalesce("flow", F.lit(0.0)) + F.lit(float(lost or 0.0)) * F.col("p")) + (1 - alpha) * F.col("p")).alias("rank"))
+        if loose or (i + 1) % ROUNDS_PER_WRITE == 0 and i + 1 < rounds:
             ranks = settled(ranks, "ranks")
-    del spark
     return ranks
 
 
 def network_mass(nodes: DataFrame, edges: DataFrame, restart: DataFrame, alpha: float = 0.85, rounds: int = 15) -> DataFrame:
     """(id, mass): personalised rank without what the restart put there directly, against its peak. Empty without edges."""
-    shares = restart.crossJoin(F.broadcast(restart.agg(F.sum("weight").alias("total")))).select("id", (F.col("weight") / F.col("total")).alias("share"))
-    ranks = pagerank(nodes, both_ways(undirected(edges)), shares, alpha, rounds).join(shares, "id", "left")
-    net = ranks.select("id", F.greatest(F.lit(0.0), (F.col("rank") - (1 - alpha) * F.coalesce("share", F.lit(0.0))) / alpha).alias("net"))
+    total = restart.agg(F.sum("weight")).first()[0]
+    shares = settled(restart.select("id", (F.col("weight") / F.lit(float(total or 1.0))).alias("share")), "restart")
+    pairs = settled(undirected(edges), "network")
+    ranks = pagerank(nodes, both_ways(pairs), shares, alpha, rounds).join(shares, "id", "left")
+    net = settled(ranks.select("id", F.greatest(F.lit(0.0), (F.col("rank") - (1 - alpha) * F.coalesce("share", F.lit(0.0))) / alpha).alias("net")), "net")
     peak = net.agg(F.max("net").alias("peak"))
     return net.crossJoin(F.broadcast(peak)).where("peak > 0").select("id", (F.col("net") / F.col("peak")).alias("mass"))
 

@@ -8,6 +8,7 @@ supplier the source that told it.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -259,11 +260,11 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     "citation_edges": (
         """citation_edges as (
   select src, dst, 'citation' as etype, 1.0::double as weight, evidence, cast(null as bigint) as shared,
-    round(least(0.99, least(1.0, 0.85 * case when least(coalesce(sa.n_sources, 1), coalesce(sb.n_sources, 1)) >= 3 then 1.5 when least(coalesce(sa.n_sources, 1), coalesce(sb.n_sources, 1)) >= 2 then 1.3 else 1.0 end) + 0.03 * (evidence - 1)), 3) as confidence
+    round(least(0.99, least(1.0, 0.85 * case when least(coalesce(sa.n_sources, 1), coalesce(sb.n_sources, 1)) >= 3 then 1.5 when least(coalesce(sa.n_sources, 1), coalesce(sb.n_sources, 1)) >= 2 then 1.3 else 1.0 end) + 0.03 * (evidence - 1)) + 1e-9, 3) as confidence
   from direct left join source_counts sa on sa.paper_id = src left join source_counts sb on sb.paper_id = dst
   union all
   select u, v, 'bib_coupling', round(weight, 4), cast(null as bigint), shared,
-    round(least(1.0, round(weight, 4) * case when least(coalesce(sa.n_sources, 1), coalesce(sb.n_sources, 1)) >= 3 then 1.5 when least(coalesce(sa.n_sources, 1), coalesce(sb.n_sources, 1)) >= 2 then 1.3 else 1.0 end), 3)
+    round(least(1.0, round(weight, 4) * case when least(coalesce(sa.n_sources, 1), coalesce(sb.n_sources, 1)) >= 3 then 1.5 when least(coalesce(sa.n_sources, 1), coalesce(sb.n_sources, 1)) >= 2 then 1.3 else 1.0 end) + 1e-9, 3)
   from (select a as u, b as v, weight, shared from coupling union all select b, a, weight, shared from coupling)
     left join source_counts sa on sa.paper_id = u left join source_counts sb on sb.paper_id = v
   where not exists (select 1 from direct d where (d.src = u and d.dst = v) or (d.src = v and d.dst = u)))""",
@@ -281,7 +282,7 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
 def oracle(body: str, *names: str) -> str:
     """The body with the named tables' definitions, and what they need, before it."""
     if not names:
-        return body.strip()
+        return ("with recursive " if re.match(r"\s*\w+ as \(", body) else "") + body.strip()
     order: list[str] = []
 
     def add(name: str) -> None:
@@ -292,7 +293,8 @@ def oracle(body: str, *names: str) -> str:
 
     for name in names:
         add(name)
-    return "with recursive " + ",\n".join(CTES[n][0] for n in order) + "\n" + body.strip()
+    more = re.match(r"\s*\w+ as \(", body) is not None  # the body begins with tables of its own
+    return "with recursive " + ",\n".join(CTES[n][0] for n in order) + (",\n" if more else "\n") + body.strip()
 
 
 __all__ = ["AS_OF", "AS_OF_YEAR", "CTES", "Model", "dot", "oracle", "unit"]

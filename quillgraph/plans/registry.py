@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 FLAGSHIP = "rank_candidates"
-_MODULES = ("scoring", "citing")
+_MODULES = ("scoring", "citing", "graphs")
 
 
 def queries() -> dict:
