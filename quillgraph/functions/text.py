@@ -146,3 +146,102 @@ def entry_type(venue: Column) -> Column:
     low = F.lower(venue)
     meeting = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in ("proceedings", "conference", "workshop", "symposium")])
     return F.when(venue == "", "misc").when(meeting, "inproceedings").otherwise("article")
+
+
+# Patterns of journal noise, removed in this order; (?i) where letter case does not matter.
+NOISE = (
+    r"^[A-Za-z][A-Za-z\s,&]+\d{1,4}\s*\(\d{4}\)\s*[\d\-–]+\s*",
+    r"(?i)Contents\s+lists?\s+available\s+at\s+\S+",
+    r"(?i)journal\s+homepage\s*:?\s*\S+",
+    r"(?i)Available\s+online\s+at\s+\S+",
+    r"https?://doi\.org/\S+",
+    r"(?i)doi\s*:\s*10\.\S+",
+    r"https?://\S+",
+    r"www\.\S+",
+    r"\d{4}[-~/]\d{3}[\dxX][\S]*",
+    r"\$\d+\.\d{2}\S*",
+    r"(?i)Vol\.\s*\d+\s*,?\s*No\.\s*\d+[^.]*",
+    r"(?i)pp\.\s*\d+\s*[-–]\s*\d+",
+    r"(?i)Elsevier\s*(B\.V\.|Science|Ltd)?|Pergamon(\s+Press)?|Academic\s+Press|Springer[-\s]Verlag|Cambridge\s+University\s+Press|Wiley[-\s]Liss",
+    r"©\s*\d{4}[^.]*\.?",
+    r"(?i)Received\s+\w+\s+\d+.*?(?:Accepted|Published)\s+\w+\s+\d+[^.]*\.?",
+    r"(?i)This\s+article\s+was\s+download\w*[^.]*\.?",
+    r"(?i)Article\s+in\s+press",
+    r"(?i)Proc\.\s*Natl\.\s*Acad\.\s*Sci\.\s*USA\s*Vol\.\s*\d+,?\s*pp\.\s*\d+[-–]\d+,?\s*(?:January|February|March|April|May|June|July|August|September|October|November|December)?\s*\d{0,4}",
+    r"(?i)^(?:The\s+)?(?:Journal\s+of\s+\w[\w\s,]+|Psychological\s+(?:Review|Bulletin|Science)|Neuroscience|Cogniti\w+\s+Psychology|Annual\s+Review\s+of\s+\w+)[\s,]*\d{4}(?-i:[^A-Z]*)",
+    r"\b[A-Z]{4,}\b\s*",
+    r"(?i)(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s*\d{4}",
+)
+
+# What a query that asks for a kind of argument says.
+INTENTS = {
+    "evolution": r"(?i)\b(?:evolv|evolution|histor|how\s+has|changed|changing|progress|over\s+time|temporal|decades?|timeline|early|later|recent|traditional|modern)\b",
+    "convergence": r"(?i)\b(?:agree|agreement|consensus|converg|support|consistent|replicated|robust|established|confirmed|evidence\s+for)\b",
+    "tension": r"(?i)\b(?:conflict|disagree|debate|tension|contradict|competing|controversial|challenge|opposing|different\s+view|vs\.?\s|versus|dispute)\b",
+    "gap": r"(?i)\b(?:gap|missing|lack|future|open\s+question|unresolved|unclear|unknown|unexplored|understudied|not\s+yet|limited)\b",
+}
+
+# Damaged characters and what they were, and quotes with their ASCII forms.
+MOJIBAKE = (("â€™", "’"), ("â€œ", "“"), ("â€\u009d", "”"), ("â€“", "—"), ("â€”", "–"), ("â€¦", "…"), ("Â ", " "))
+PLAIN_QUOTES = (("’", "'"), ("‘", "'"), ("“", '"'), ("”", '"'), ("—", "--"), ("–", "-"), ("…", "..."))
+
+
+def without_noise(text: Column) -> Column:
+    """Publisher and journal phrases removed, white space collapsed."""
+    stripped = reduce(lambda t, p: F.regexp_replace(t, p, ""), NOISE, without_ligatures(text))
+    return F.trim(F.regexp_replace(stripped, r"\s{2,}", " "))
+
+
+def intent_boosts(query: Column) -> Column:
+    """Map of argument kind to 3.0 where the query asks for it, else 1.0."""
+    return F.create_map(*[x for kind, p in INTENTS.items() for x in (F.lit(kind), F.when(query.rlike(p), 3.0).otherwise(1.0))])
+
+
+def repaired(text: Column) -> Column:
+    """Known damaged sequences put right, quotes and dashes in ASCII, C1 control characters dropped."""
+    fixed = reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), MOJIBAKE + PLAIN_QUOTES, text)
+    return F.regexp_replace(fixed, "[\\x{80}-\\x{9f}]", "")
+
+
+def sentences(text: Column) -> Column:
+    return F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: s != "")
+
+
+def relevant_sentence(text: Column, terms: list[str], least: float = 0.08) -> Column:
+    """The sentence that holds the largest share of the terms, the first of equals; null under ``least``."""
+    words = lambda s: F.array_distinct(F.split(F.lower(s), r"[^a-z0-9]+"))
+    asked = F.array(*[F.lit(t) for t in terms])
+    scored = F.transform(sentences(text), lambda s, i: F.struct((F.size(F.array_intersect(words(s), asked)) / float(max(len(terms), 1))).alias("share"), (-i).alias("place"), s.alias("sentence")))
+    best = F.array_max(scored)
+    return F.when(best["share"] > least, best["sentence"])
+
+
+def short_author(authors: Column) -> Column:
+    first = F.try_element_at(authors, F.lit(1))
+    last = F.when(F.contains(first, F.lit(",")), F.trim(F.substring_index(first, ",", 1))).otherwise(F.element_at(F.split(first, " "), -1))
+    return F.when(F.size(authors) > 1, F.concat(last, F.lit(" et al."))).when(F.size(authors) == 1, last).otherwise("the authors")
+
+
+# Title words too common to tell a paper by.
+GENERIC_TITLE_WORDS = ("study", "analysis", "method", "model", "theory", "approach", "using", "toward", "beyond", "neural", "based", "novel", "improved", "unified", "general", "framework")
+
+
+def title_mention(abstract: Column, title: Column) -> Column:
+    """The part of an abstract around the first three telling words of another paper's title; null if they are not there."""
+    words = F.filter(F.split(title, r"\s+"), lambda w: (F.length(w) > 4) & ~F.lower(w).isin(*GENERIC_TITLE_WORDS))
+    fragment = F.lower(F.array_join(F.slice(words, 1, 3), " "))
+    at = F.position(fragment, F.lower(abstract))
+    start = F.greatest(F.lit(0), at - 1 - 150)
+    return F.when((F.length(title) > 10) & (fragment != "") & (at > 0), F.substring(abstract, start + 1, at - 1 + 200 - start))
+
+
+def abstract_of(text: Column) -> Column:
+    """What stands between the word abstract and the next section, 1200 characters at most; else the first 500."""
+    found = F.regexp_extract(text, r"(?is)abstract[:\s]+(.*?)\n\s*(?:introduction|keywords|1[.\s]|background)", 1)
+    return F.when(found != "", F.substring(clean(found), 1, 1200)).otherwise(F.substring(clean(text), 1, 500))
+
+
+def inverted_to_text(inverted: Column) -> Column:
+    """Map of word to positions, as a text: words by position, then by word."""
+    placed = F.flatten(F.transform(F.map_entries(inverted), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
+    return F.coalesce(F.array_join(F.transform(F.array_sort(placed), lambda s: s["w"]), " "), F.lit(""))
