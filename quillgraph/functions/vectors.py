@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,11 +18,17 @@ def norm(v: Column | str) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def unit(v: Column | str) -> Column:
     """The vector divided by its length; vectors shorter than 1e-12 stay as they are."""
     v = F.col(v) if isinstance(v, str) else v
-    n = norm(v)
-    return F.when(n > 1e-12, F.transform(v, lambda x: x / n)).otherwise(v)
+    measured = lambda u: F.struct(u.alias("v"), norm(u).alias("n"))
+    scaled = lambda s: F.when(s["n"] > 1e-12, F.transform(s["v"], lambda x: x / s["n"])).otherwise(s["v"])
+    return bound(bound(v, measured), scaled)
 
 
 def mean_pool(df: DataFrame, vector: str, weight: str, keys: list[str] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from quillgraph.functions import signals as S
 from quillgraph.functions import text as T
 from quillgraph.functions.vectors import dot
 from quillgraph.operators import quality as Y
-from quillgraph.plans.model import AS_OF, CTES, Model
+from quillgraph.plans.model import CTES, Model
 from quillgraph.plans.registration import r6, registrar
 
 QUERIES, ORACLES, query = registrar()
@@ -340,4 +340,3 @@ def rated_against_question(m: Model) -> DataFrame:
     return m.corpus.where("user_rating is not null").crossJoin(F.broadcast(m.question)).select("paper_id", "user_rating", r6(dot("embedding", "question"), "similarity"))
 
 
-assert AS_OF
