@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.store import settled
 
-#: Rounds of an iteration between two written states.
-ROUNDS_PER_WRITE = 5
+#: Rounds of an iteration between two written states. A written state has a known size, so that Spark can broadcast a
+#: small one to the arcs instead of shuffling them.
+ROUNDS_PER_WRITE = 1
 
 
 def upsert_nodes(nodes: DataFrame, new: DataFrame, key: str = "id", order: str = "version") -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions.store import small
+from quillgraph.functions.store import settled, small
 from quillgraph.functions.vectors import dot
 
 PPR_ROUNDS = 15
@@ -29,8 +29,6 @@ def numbered(df: DataFrame, order: list[Column], name: str = "position") -> Data
     """All rows with their position in the order, from 1: sorted by ranges, then each range is offset by the rows before it."""
     keyed = df.withColumn("_key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
     ranged = keyed.repartitionByRange("_key").sortWithinPartitions("_key").withColumn("_part", F.spark_partition_id())
-    from quillgraph.functions.store import settled
-
     ranged = settled(ranged, "ranged")
     counts = ranged.groupBy("_part").agg(F.count("*").alias("n"))  # one row a range
     before = counts.withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
@@ -48,7 +46,7 @@ def explore_scores(relevance: DataFrame, gaps: DataFrame, floor: float = EXPLORE
 def slate(relevance: DataFrame, n: int, ratio: float, floor: float = RELEVANCE_FLOOR, explore_floor: float = EXPLORE_FLOOR) -> DataFrame:
     """(paper_id, label, rank, value): the best by relevance, then by novelty among the others."""
     explore = 0 if n <= 1 else max(1, int(n * ratio))
-    both = relevance.select("paper_id", "rel", "novelty")
+    both = settled(relevance.select("paper_id", "rel", "novelty"), "relevance")
     best = top(both.where(F.col("rel") >= floor), [F.desc(F.round("rel", 9)), F.col("paper_id")], n - explore)
     best = best.select("paper_id", F.lit("relevant").alias("label"), "rank", F.col("rel").alias("value"))
     others = both.where((F.col("rel") >= explore_floor) & (F.col("novelty") >= MIN_NOVELTY)).join(F.broadcast(best.select("paper_id")), "paper_id", "left_anti")
