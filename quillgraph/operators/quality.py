@@ -66,9 +66,9 @@ def alignment(scored: DataFrame, liked: float = 7.0, disliked: float = 3.0, most
     ideal = top(scored, [F.desc("rating"), F.desc("paper_id")], k)
     gain = lambda df: F.sum(F.col("rating") / F.log2(F.col("rank") + 1))
     at_k = first.agg((F.count_if(F.col("rating") >= liked) / F.count("*")).alias("precision_at_k"), gain(first).alias("dcg")).crossJoin(ideal.agg(gain(ideal).alias("idcg")))
-    r4 = lambda c, n: F.round(c, 4).alias(n)
+    r4 = lambda c, n: F.round(c + 1e-9, 4).alias(n)
     return counts.crossJoin(auc).crossJoin(at_k).select(
-        "rated", "positives", "negatives", r4("auc", "auc"), r4("precision_at_k", "precision_at_k"), r4(F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")), "ndcg_at_k"), r4("rating_corr", "rating_corr")
+        "rated", "positives", "negatives", r4(F.col("auc"), "auc"), r4(F.col("precision_at_k"), "precision_at_k"), r4(F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")), "ndcg_at_k"), r4(F.col("rating_corr"), "rating_corr")
     )
 
 

@@ -111,7 +111,7 @@ def top_weighted_degree(m: Model) -> DataFrame:
 
 
 @query(
-    """select round(avg(confidence), 4)::double as mean_edge_confidence, count(*) filter (confidence < 0.5) as low_conf_edges, round(count(*) filter (confidence < 0.5) / count(*), 4) as low_conf_ratio, count(*) as edges,
+    """select round(avg(confidence) + 1e-9, 4)::double as mean_edge_confidence, count(*) filter (confidence < 0.5) as low_conf_edges, round(count(*) filter (confidence < 0.5) / count(*) + 1e-9, 4) as low_conf_ratio, count(*) as edges,
       (select count(*) from source_counts semi join corpus using (paper_id)) as refs_with_sources, (select count(*) from source_counts semi join corpus using (paper_id) where n_sources >= 2) as refs_multi_source from citation_edges""",
     "citation_edges", "source_counts",
 )
@@ -119,7 +119,7 @@ def reliability_snapshot(m: Model) -> DataFrame:
     """AGG-06"""
     low = F.col("confidence") < 0.5
     edges = m.citation_edges.agg(
-        F.round(F.avg("confidence"), 4).alias("mean_edge_confidence"), F.count_if(low).alias("low_conf_edges"), F.round(F.count_if(low) / F.count("*"), 4).alias("low_conf_ratio"), F.count("*").alias("edges")
+        F.round(F.avg("confidence") + 1e-9, 4).alias("mean_edge_confidence"), F.count_if(low).alias("low_conf_edges"), F.round(F.count_if(low) / F.count("*") + 1e-9, 4).alias("low_conf_ratio"), F.count("*").alias("edges")
     )
     sources = m.refs.join(m.corpus.select("paper_id"), "paper_id", "left_semi").groupBy("paper_id").agg(F.count_distinct("source").alias("k"))
     return edges.crossJoin(sources.agg(F.count("*").alias("refs_with_sources"), F.count_if(F.col("k") >= 2).alias("refs_multi_source")))

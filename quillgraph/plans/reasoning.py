@@ -85,14 +85,14 @@ def query_answers(m: Model) -> DataFrame:
     """inner_ as (select a.niche as cluster_id, count(*) as links from combined_edges e join corpus a on a.paper_id = e.src join corpus b on b.paper_id = e.dst where a.niche = b.niche and e.src <> e.dst group by 1),
     deg as (select id, count(*) as degree from (select src as id from combined_edges union all select dst from combined_edges) group by id),
     facts as (select niche as cluster_id, avg(year) as mean_year, max_by(paper_id, coalesce(degree, 0) * 1000000 - ordinal) as central from corpus left join deg on id = paper_id group by niche)
-    select cluster_id, size, round(similarity, 6) as similarity, round(coalesce(links, 0) / (size * (size - 1.0)), 6)::double as density, round(mean_year, 4) as mean_year, central, case when mean_year >= 2020 then 'emerging' when mean_year >= 2010 then 'growing' else 'established' end as maturity
+    select cluster_id, size, round(similarity, 6) as similarity, round(coalesce(links, 0) / (size * (size - 1.0)), 6)::double as density, round(mean_year, 6) as mean_year, central, case when mean_year >= 2020 then 'emerging' when mean_year >= 2010 then 'growing' else 'established' end as maturity
     from matched join facts using (cluster_id) left join inner_ using (cluster_id)""",
     "matched", "combined_edges", "corpus",
 )
 def niche_profiles(m: Model) -> DataFrame:
     """AGG-13"""
     p = A.niche_profiles(m.clusters, m.membership, m.corpus, m.question, m.combined_edges, NICHE_FLOOR)
-    return p.select("cluster_id", "size", r6("similarity"), r6("density"), F.round("mean_year", 4).alias("mean_year"), "central", "maturity")
+    return p.select("cluster_id", "size", r6("similarity"), r6("density"), F.round("mean_year", 6).alias("mean_year"), "central", "maturity")
 
 
 @query(

@@ -91,8 +91,8 @@ def graph_stats(m: Model) -> DataFrame:
     """pairs as (select avg(case when a.score > b.score then 1.0 when a.score = b.score then 0.5 else 0.0 end) as auc from quality a, quality b where a.rating >= 7 and b.rating <= 3),
     k as (select greatest(1, least(10, count(*) filter (rating >= 7))) as k from quality),
     ranked as (select *, row_number() over (order by score desc, paper_id) as rn, row_number() over (order by rating desc, paper_id desc) as best from quality)
-    select count(*) as rated, count(*) filter (rating >= 7) as positives, count(*) filter (rating <= 3) as negatives, round((select auc from pairs), 4)::double as auc,
-      round(sum(case when rn <= k and rating >= 7 then 1.0 else 0 end) / any_value(k), 4)::double as precision_at_k, round(sum(case when rn <= k then rating / log2(rn + 1) else 0 end) / sum(case when best <= k then rating / log2(best + 1) else 0 end), 4) as ndcg_at_k, round(corr(score, rating), 4) as rating_corr from ranked, k""",
+    select count(*) as rated, count(*) filter (rating >= 7) as positives, count(*) filter (rating <= 3) as negatives, round((select auc from pairs) + 1e-9, 4)::double as auc,
+      round(sum(case when rn <= k and rating >= 7 then 1.0 else 0 end) / any_value(k) + 1e-9, 4)::double as precision_at_k, round(sum(case when rn <= k then rating / log2(rn + 1) else 0 end) / sum(case when best <= k then rating / log2(best + 1) else 0 end) + 1e-9, 4) as ndcg_at_k, round(corr(score, rating) + 1e-9, 4) as rating_corr from ranked, k""",
     "quality",
 )
 def ranking_quality(m: Model) -> DataFrame:
@@ -112,7 +112,7 @@ def review_themes(m: Model) -> DataFrame:
 
 @query(
     """sums as (select least(a.niche, b.niche) as a, greatest(a.niche, b.niche) as b, sum(e.weight) as w from semantic_edges e join corpus a on a.paper_id = e.src join corpus b on b.paper_id = e.dst where a.niche <> b.niche group by all)
-    select a, b, round(w / (select max(w) from sums), 3) as w from sums where w / (select max(w) from sums) >= 0.05 qualify row_number() over (order by w desc, a, b) <= 80""",
+    select a, b, round(w / (select max(w) from sums) + 1e-9, 3) as w from sums where w / (select max(w) from sums) >= 0.05 qualify row_number() over (order by w desc, a, b) <= 80""",
     "semantic_edges", "corpus",
 )
 def theme_coupling(m: Model) -> DataFrame:
@@ -121,7 +121,7 @@ def theme_coupling(m: Model) -> DataFrame:
     e = m.semantic_edges.join(niche.select(F.col("paper_id").alias("src"), F.col("niche").alias("x")), "src").join(niche.select(F.col("paper_id").alias("dst"), F.col("niche").alias("y")), "dst").where("x <> y")
     sums = e.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("weight").alias("s"))
     share = F.col("s") / F.col("top")
-    return sums.crossJoin(F.broadcast(sums.agg(F.max("s").alias("top")))).where(share >= 0.05).orderBy(F.desc("s"), "a", "b").limit(80).select("a", "b", F.round(share, 3).alias("w"))
+    return sums.crossJoin(F.broadcast(sums.agg(F.max("s").alias("top")))).where(share >= 0.05).orderBy(F.desc("s"), "a", "b").limit(80).select("a", "b", F.round(share + 1e-9, 3).alias("w"))
 
 
 @query("select theme, word, n from (select niche as theme, word, n, row_number() over (partition by niche order by n desc, word) as rn from (select niche, word, count(*) as n from (select niche, unnest(regexp_extract_all(lower(title), '[a-z]{4,}')) as word from review) where word not in ('from', 'with', 'into') group by all)) where rn <= 4", "review")
@@ -305,20 +305,20 @@ def capsule_reconciliation(m: Model) -> DataFrame:
     return reconcile(m.candidates, m.corpus.where("kind = 'paper'"), 0.4).select("paper_id", "class", r6("best"))
 
 
-@query("select source, count(*) as fetched, count(distinct case when doi = '' then paper_id else doi end) as new_unique, round(count(distinct case when doi = '' then paper_id else doi end) / count(*), 3) as saturation from papers group by source", "papers")
+@query("select source, count(*) as fetched, count(distinct case when doi = '' then paper_id else doi end) as new_unique, round(count(distinct case when doi = '' then paper_id else doi end) / count(*) + 1e-9, 3) as saturation from papers group by source", "papers")
 def source_saturation(m: Model) -> DataFrame:
     """AGG-33"""
     key = F.when(F.col("doi") == "", F.col("paper_id")).otherwise(F.col("doi"))
-    return m.papers.groupBy("source").agg(F.count("*").alias("fetched"), F.count_distinct(key).alias("new_unique")).withColumn("saturation", F.round(F.col("new_unique") / F.col("fetched"), 3))
+    return m.papers.groupBy("source").agg(F.count("*").alias("fetched"), F.count_distinct(key).alias("new_unique")).withColumn("saturation", F.round(F.col("new_unique") / F.col("fetched") + 1e-9, 3))
 
 
 @query(
-    """daily as (select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, count(*) as events, count(distinct user_id) as users, round(avg(value), 4) as mean from events group by 1)
+    """daily as (select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, count(*) as events, count(distinct user_id) as users, round(avg(value) + 1e-9, 6) as mean from events group by 1)
     select day, events, users, mean, events - first_value(events) over (order by day) as change from daily qualify row_number() over (order by day desc) <= 500"""
 )
 def evolution_series(m: Model) -> DataFrame:
     """AGG-34, SNK-09: the last 500 snapshots and their change since the first"""
-    daily = m.table("events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("events"), F.count_distinct("user_id").alias("users"), F.round(F.avg("value"), 4).alias("mean"))
+    daily = m.table("events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("events"), F.count_distinct("user_id").alias("users"), F.round(F.avg("value") + 1e-9, 6).alias("mean"))
     first = daily.agg(F.min_by("events", "day").alias("first"))
     return daily.orderBy(F.desc("day")).limit(500).crossJoin(F.broadcast(first)).select("day", "events", "users", "mean", (F.col("events") - F.col("first")).alias("change"))
 
