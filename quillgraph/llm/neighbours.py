@@ -6,7 +6,7 @@ smallest first, with a heap, until the cells it has seen hold a calibrated share
 cells are reranked by their true Euclidean distance in double precision. The share is measured on the fitting sample,
 against brute force there, as what RECALL asks for.
 
-Cells are gathered into shards of about SHARD_ROWS entries (a larger cell is split by a hash of vec_id), a query goes
+Cells are gathered into shards of at most SHARD_ROWS entries (a larger cell is split by a hash of vec_id), a query goes
 only to shards that hold one of its cells, and each shard streams its queries past its entries: memory is bounded by
 the shard, and what leaves it is K rows a query. Centroids and cell counts number MAX_CENTROIDS^2 at most.
 
@@ -32,7 +32,10 @@ SAMPLE_ROWS = 16_384
 SAMPLE_QUERIES = 128
 MAX_CENTROIDS = 256
 ROWS_PER_CELL = 32
-SHARD_ROWS = 8_192
+#: Entries of a shard: about a MOST_SHARDS-th of all, between these bounds. More shards spread the work of few rows,
+#: larger ones repeat fewer queries.
+MOST_SHARDS = 256
+LEAST_SHARD_ROWS, SHARD_ROWS = 512, 65_536
 RECALL = 0.97
 
 
@@ -168,10 +171,11 @@ def search(vectors: DataFrame, asking: DataFrame, k: int = K) -> DataFrame:
     for r in entries.groupBy("cell").agg(F.count("*").alias("n")).collect():  # at most MAX_CENTROIDS^2 rows
         index.counts[r.cell] = r.n
     # Cells in order fill shards; a cell above a shard's size has several of its own.
-    split = np.maximum(1, -(-index.counts // SHARD_ROWS))
+    shard_rows = min(SHARD_ROWS, max(LEAST_SHARD_ROWS, n // MOST_SHARDS))
+    split = np.maximum(1, -(-index.counts // shard_rows))
     first, at, filled = np.zeros(len(split), np.int64), 0, 0
     for c, (m, s) in enumerate(zip(index.counts.tolist(), split.tolist(), strict=True)):
-        if filled and (s > 1 or filled + m > SHARD_ROWS):
+        if filled and (s > 1 or filled + m > shard_rows):
             at, filled = at + 1, 0
         first[c], filled = at, filled + m
         if s > 1:
