@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 FLAGSHIP = "rank_candidates"
-_MODULES = ("scoring", "citing", "graphs", "reporting", "reasoning", "texts", "numeric", "feeds", "writing")
+_MODULES = ("scoring", "citing", "graphs", "reporting", "reasoning", "texts", "numeric", "feeds", "writing", "storage")
 
 
 def queries() -> dict:
