@@ -15,7 +15,8 @@ large-star and small-star rounds, each written to the shared folder.
 
 Defined results: a null, empty or blank text has fingerprint zero, linked like any other; ties need no breaking, as a
 component is named by its smallest doc_id; rows without doc_id get their component's smallest doc_id, null where it
-has none; repeated rows are each reported by ``components`` and one of them stays in ``representatives``; an empty
+has none; repeated rows are each reported by ``components`` and one of them stays in ``representatives``, which finds the
+duplicates and drops them; an empty
 table gives an empty result; other columns are ignored or kept, whatever their names.
 """
 
@@ -37,8 +38,8 @@ SEED = 42
 PIVOTS = np.random.default_rng(20240607).integers(0, 1 << 64, 24, dtype=np.uint64)
 #: Buckets up to this size are checked pair by pair.
 DENSE = 256
-#: Rows of which a broadcast is allowed: two longs each.
-BROADCAST_ROWS = 500_000
+#: Rows of which a broadcast is allowed: two longs each. Beyond, the documents are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 _EDGES_AT = (0, 11, 22, 33, 44, 54, 64)
 _BLOCKS = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(_EDGES_AT, _EDGES_AT[1:], strict=False)]
@@ -255,20 +256,24 @@ def representatives(docs: DataFrame) -> DataFrame:
     """One document of each component, with all its columns: the smallest doc_id, then the smallest fingerprint."""
     prints = written(fingerprints(docs), "prints")
     named = prints.join(classes(prints), "fp")
-    kept = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("fp").alias("kept_fp"), F.count("*").alias("n"))
-    kept = written(kept, "representatives")
-    keep_rows, repeated = kept.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
+    head = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    heads = named.where(head)
+    most = heads.groupBy("component_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    gone = named.where(~head).select("doc_id", "fp")
+    if most > 1:  # a doc_id on several rows: those with its smallest fingerprint stay, once
+        kept = heads.groupBy(F.col("component_id").alias("id")).agg(F.min("fp").alias("kept_fp"))
+        gone = gone.unionByName(heads.join(kept, heads["component_id"].eqNullSafe(kept["id"])).where("fp <> kept_fp").select("doc_id", "fp"))
+    gone = written(gone.select(F.col("doc_id").alias("_gone_id"), F.col("fp").alias("_gone_fp")).distinct(), "duplicates")
     key = "_quillgraph_fp"
 
     @F.pandas_udf("long")
     def print_of(texts):
         return texts.map(lambda t: _signed(fingerprint(t or ""))).astype("int64")
 
-    side = kept.select("component_id", "kept_fp")
-    side = F.broadcast(side) if keep_rows <= BROADCAST_ROWS else side
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = docs.withColumn(key, print_of("text"))
-    out = rows.join(side, rows["doc_id"].eqNullSafe(side["component_id"]) & (rows[key] == side["kept_fp"]), "left_semi")
-    if repeated > 1:
+    out = rows.join(F.broadcast(gone) if few else gone, rows["doc_id"].eqNullSafe(gone["_gone_id"]) & (rows[key] == gone["_gone_fp"]), "left_anti")
+    if most > 1:
         out = out.dropDuplicates(["doc_id", key])
     return out.drop(key)
 
