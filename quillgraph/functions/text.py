@@ -179,6 +179,7 @@ INTENTS = {
     "convergence": r"(?i)\b(?:agree|agreement|consensus|converg|support|consistent|replicated|robust|established|confirmed|evidence\s+for)\b",
     "tension": r"(?i)\b(?:conflict|disagree|debate|tension|contradict|competing|controversial|challenge|opposing|different\s+view|vs\.?\s|versus|dispute)\b",
     "gap": r"(?i)\b(?:gap|missing|lack|future|open\s+question|unresolved|unclear|unknown|unexplored|understudied|not\s+yet|limited)\b",
+    "synthesis": r"(?i)\b(?:synthesiz|integrat|combin|bridge|multiple|different\s+approaches?|cross[-\s]disciplin|connect|link|relationship\s+between)\b",
 }
 
 # Damaged characters and what they were, and quotes with their ASCII forms.
