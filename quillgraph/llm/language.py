@@ -6,7 +6,7 @@ language with the smallest total wins. The margin between the best and the next
 how sure that is; a text whose margin is narrow is rejected (``accepted`` false), which the pipeline's filter uses.
 
 Defined results: a null text, or one with no letters, is ``und`` with score 0 and not accepted; equal sizes go to the
-language that sorts first; with nothing to learn from, every text is ``und``; repeated rows are each reported; other
+language with more documents to learn from; with nothing to learn from, every text is ``und``; repeated rows are each reported; other
 columns of the input are ignored by ``identify`` and kept by ``accepted``.
 """
 
@@ -47,7 +47,7 @@ class Compressors:
     """One prepared dictionary a language; made once in each Python worker."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
-        self.names = sorted(dictionaries)
+        self.names = list(dictionaries)
         self.by_language = []
         for name in self.names:
             d = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -89,7 +89,8 @@ def fit(labelled: DataFrame) -> dict[str, bytes]:
     parts: dict[str, list[str]] = {}
     for r in picked.distinct().orderBy("lang", "h", "text").limit(4 * SAMPLE_DOCS * len(counts)).collect():
         parts.setdefault(r.lang, []).append(letters(r.text))
-    return {name: " ".join(x).encode()[-DICTIONARY_BYTES:] for name, x in parts.items() if any(x)}
+    order = sorted(parts, key=lambda name: (-counts[name], name))
+    return {name: " ".join(parts[name]).encode()[-DICTIONARY_BYTES:] for name in order if any(parts[name])}
 
 
 def held_in(docs: DataFrame) -> DataFrame:
