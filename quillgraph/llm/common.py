@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,28 @@ def crc_rest(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+#: Rows of a batch that are Python objects at one time.
+SLICE_ROWS = 512
+
+
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, without copying: only a slice's texts become Python strings at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(i, SLICE_ROWS)
+
+
+def text_udf(use: Callable[[list[str | None]], list], sql_type: str, arrow_type: pa.DataType) -> Callable:
+    """A column function of texts by Arrow batches, slice by slice."""
+
+    @F.arrow_udf(sql_type)
+    def run(texts: pa.Array) -> pa.Array:
+        parts = [pa.array(use(texts.slice(i, SLICE_ROWS).to_pylist()), arrow_type) for i in range(0, len(texts), SLICE_ROWS)]
+        return pa.concat_arrays(parts) if parts else pa.array([], arrow_type)
+
+    return run
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """A batch's texts, null as empty."""
     return [x or "" for x in batch.column(name).to_pylist()]

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import record, table
+from quillgraph.llm.common import record, slices, table
 
 SHINGLE = 5
 SCALE = 8
@@ -114,7 +114,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint as ascending unsigned hashes in signed longs), without any shuffle."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             got = [sketch(t or "").view(np.int64) for t in batch.column("text").to_pylist()]
             yield record(_SKETCHES, doc_id=batch.column("doc_id"), fingerprint=pa.array(got, pa.list_(pa.int64())))
 
@@ -130,7 +130,7 @@ _OUT = pa.schema(
 def _neighbours(batches):
     """Rows by range, borrowed last, in order: each own row is answered when the row after it is known."""
     held = None
-    for batch in batches:
+    for batch in slices(batches):
         out = []
         for at, borrowed, doc_id, text in zip(*(batch.column(n).to_pylist() for n in ("at", "borrowed", "doc_id", "text")), strict=True):
             text = text or ""

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import crc_rest, record, table, texts_of
+from quillgraph.llm.common import crc_rest, record, slices, table, text_udf, texts_of
 
 UNKNOWN = "und"
 #: Bytes of a language's dictionary, and of the blocks compressed against it.
@@ -106,7 +106,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
 
     def run(batches):
         compressors = Compressors(dictionaries)
-        for batch in batches:
+        for batch in slices(batches):
             got = [compressors.classify(t) for t in texts_of(batch)]
             yield record(_OUT, doc_id=batch.column("doc_id"), **{n: [g[i] for g in got] for i, n in enumerate(_OUT.names[1:])})
 
@@ -117,13 +117,12 @@ def accepted(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     """The documents that are not rejected, with their columns as they were."""
     made: list[Compressors] = []
 
-    @F.pandas_udf("boolean")
     def keep(texts):
         if not made:
             made.append(Compressors(dictionaries))
-        return texts.map(lambda t: made[0].classify(t or "")[3])
+        return [made[0].classify(t or "")[3] for t in texts]
 
-    return docs.where(keep("text"))
+    return docs.where(text_udf(keep, "boolean", pa.bool_())("text"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

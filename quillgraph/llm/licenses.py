@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import record, table, texts_of, written
+from quillgraph.llm.common import record, slices, table, texts_of, written
 
 K = 5
 #: Diagonals this near each other belong to one span.
@@ -137,7 +137,7 @@ def scanned(docs: DataFrame, hashes: np.ndarray) -> DataFrame:
     def run(batches):
         rough = np.zeros(1 << 16, bool)
         rough[hashes & np.uint64(0xFFFF)] = True
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in texts_of(batch):
                 words = words_of(text)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import record, table, texts_of, written
+from quillgraph.llm.common import record, slices, table, text_udf, texts_of, written
 
 RADIUS = 3
 SHINGLE = 3
@@ -90,7 +90,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) a document; fp is the fingerprint as a signed long."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield record(_PRINTS, doc_id=batch.column("doc_id"), fp=[_signed(fingerprint(t)) for t in texts_of(batch)])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
@@ -266,10 +266,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     gone = written(gone.select(F.col("doc_id").alias("_gone_id"), F.col("fp").alias("_gone_fp")).distinct(), "duplicates")
     key = "_quillgraph_fp"
 
-    @F.pandas_udf("long")
-    def print_of(texts):
-        return texts.map(lambda t: _signed(fingerprint(t or ""))).astype("int64")
-
+    print_of = text_udf(lambda texts: [_signed(fingerprint(t or "")) for t in texts], "long", pa.int64())
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = docs.withColumn(key, print_of("text"))
     out = rows.join(F.broadcast(gone) if few else gone, rows["doc_id"].eqNullSafe(gone["_gone_id"]) & (rows[key] == gone["_gone_fp"]), "left_anti")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import record, table, texts_of, written
+from quillgraph.llm.common import record, slices, table, texts_of, written
 
 LENGTHS = (256, 512, 1024, 2048, 4096)
 OVERHEAD = 16.0
@@ -73,7 +73,7 @@ _LENGTHS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64())])
 
 def measured(docs: DataFrame) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield record(_LENGTHS, doc_id=batch.column("doc_id"), n_words=[len(t.split()) for t in texts_of(batch)])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import record, table, texts_of
+from quillgraph.llm.common import record, slices, table, text_udf, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds that only the method finds.
@@ -243,7 +243,7 @@ _COUNTS = pa.schema([("kind", pa.string()), ("votes", pa.string()), ("n", pa.int
 
 def _count(batches):
     seen: Counter = Counter()
-    for batch in batches:
+    for batch in slices(batches):
         for text in texts_of(batch):
             base, more = candidates(text)
             for k, a, b in base:
@@ -288,7 +288,7 @@ def detect(docs: DataFrame, model: Model | None = None) -> DataFrame:
     model = model or fit(docs)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [find(t, model) for t in texts_of(batch)]
             yield record(
                 _SPANS,
@@ -306,10 +306,7 @@ def redacted(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The documents with every span replaced by its kind; n_chars follows the new text. A null text stays null."""
     model = model or fit(docs)
 
-    @F.pandas_udf("string")
-    def clean(texts):
-        return texts.map(lambda t: None if t is None else redact(t, find(t, model)[1]))
-
+    clean = text_udf(lambda texts: [None if t is None else redact(t, find(t, model)[1]) for t in texts], "string", pa.string())
     out = docs.withColumn("text", clean("text"))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import crc_rest, record, table, texts_of
+from quillgraph.llm.common import crc_rest, record, slices, table, text_udf, texts_of
 
 THRESHOLD = 0.3
 #: Rows of each sample at most, about.
@@ -144,7 +144,7 @@ _SAMPLE = pa.schema([("positive", pa.bool_()), ("h", pa.int64()), ("x", pa.list_
 
 
 def _sampled(batches):
-    for batch in batches:
+    for batch in slices(batches):
         x = feature_matrix(texts_of(batch)).astype(np.float32)
         yield record(_SAMPLE, positive=batch.column("positive"), h=batch.column("h"), x=pa.array(list(x), pa.list_(pa.float32())))
 
@@ -184,7 +184,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """One row a document: the score of its text, and the prediction."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield record(_OUT, doc_id=batch.column("doc_id"), score=model.scores(feature_matrix(texts_of(batch))))
 
     out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
@@ -194,12 +194,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The documents whose score reaches the threshold, with their columns as they were."""
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
-        return pd.Series(model.scores(feature_matrix([t or "" for t in texts])))
-
+    score = text_udf(lambda texts: model.scores(feature_matrix([t or "" for t in texts])).tolist(), "double", pa.float64())
     return docs.where(score("text") >= THRESHOLD)
 
 

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import record, table, written
+from quillgraph.llm.common import record, slices, table, written
 
 BLOCK_CHARS = 24_000_000
 BLOCK_WORDS = 600_000
@@ -138,7 +138,7 @@ def blocks(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterato
         words = list(known)
         return Block(mark.intdigest() >> 1, [words[i] for i in order.tolist()], doc_ids, np.fromiter(map(len, texts), np.uint32, len(texts)), rank[flat] if len(flat) else flat)
 
-    for batch in batches:
+    for batch in slices(batches):
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             found = vocabulary.words(text or "")
             new = known.setdefault
