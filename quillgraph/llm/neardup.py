@@ -22,6 +22,7 @@ table gives an empty result; other columns are ignored or kept, whatever their n
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -237,10 +238,10 @@ def connected(pairs: DataFrame, name: str = "components", rounds: int = 60) -> D
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def classes(prints: DataFrame) -> DataFrame:
-    """(fp, component_id) of the distinct fingerprints of (doc_id, fp)."""
+def classes(prints: DataFrame, linked: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
+    """(fp, component_id) of the distinct fingerprints of (doc_id, fp), connected by ``linked`` of (fp, first_id)."""
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprints")
-    roots = connected(links(distinct.select("fp")))
+    roots = connected(linked(distinct))
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return written(rooted.join(named, "root").select("fp", "component_id"), "classes")
@@ -252,10 +253,18 @@ def components(docs: DataFrame) -> DataFrame:
     return prints.join(classes(prints), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """One document of each component, with all its columns: the smallest doc_id, then the smallest fingerprint."""
-    prints = written(fingerprints(docs), "prints")
-    named = prints.join(classes(prints), "fp")
+def print_column(of: Callable[[str], int]) -> Callable:
+    """A column function of texts: ``of`` as a signed long, null as an empty text."""
+    return text_udf(lambda texts: [_signed(of(t or "")) for t in texts], "long", pa.int64())
+
+
+def representatives(docs: DataFrame, prints: DataFrame | None = None, linked: Callable[[DataFrame], DataFrame] = links, of: Callable[[str], int] = fingerprint) -> DataFrame:
+    """One document of each component, with all its columns: the smallest doc_id, then the smallest fingerprint.
+
+    ``prints`` are (doc_id, fp) with fp by ``of``, connected by ``linked``; by default SimHash, within RADIUS.
+    """
+    prints = written(fingerprints(docs), "prints") if prints is None else prints
+    named = prints.join(classes(prints, linked), "fp")
     head = F.col("doc_id").eqNullSafe(F.col("component_id"))
     heads = named.where(head)
     most = heads.groupBy("component_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
@@ -266,9 +275,8 @@ def representatives(docs: DataFrame) -> DataFrame:
     gone = written(gone.select(F.col("doc_id").alias("_gone_id"), F.col("fp").alias("_gone_fp")).distinct(), "duplicates")
     key = "_quillgraph_fp"
 
-    print_of = text_udf(lambda texts: [_signed(fingerprint(t or "")) for t in texts], "long", pa.int64())
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = docs.withColumn(key, print_of("text"))
+    rows = docs.withColumn(key, print_column(of)("text"))
     out = rows.join(F.broadcast(gone) if few else gone, rows["doc_id"].eqNullSafe(gone["_gone_id"]) & (rows[key] == gone["_gone_fp"]), "left_anti")
     if most > 1:
         out = out.dropDuplicates(["doc_id", key])
