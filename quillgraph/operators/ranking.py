@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +14,6 @@ RELEVANCE_FLOOR = 0.30
 EXPLORE_FLOOR = 0.25
 MIN_NOVELTY = 0.30
 LAMBDA = 0.7
-#: Candidates that enter the greedy selection: those of highest score.
-POOL = 2_000
 
 
 def top(df: DataFrame, order: list[Column], n: int) -> DataFrame:
@@ -69,32 +66,47 @@ def greedy(scores: np.ndarray, vectors: np.ndarray, n: int, trade: float = LAMBD
     return picked
 
 
-def diversified(pool: DataFrame, n: int, trade: float = LAMBDA, size: int = POOL) -> DataFrame:
-    """(id, rank, score) of a greedy slate over (id, score, embedding); the pool is the ``size`` best by score."""
+def _best(values: DataFrame) -> tuple | None:
+    """(id, score, embedding) of the largest value, up to rounding; ties to the larger score, then the smaller id."""
+    return values.orderBy(F.desc(F.round("value", 11)), F.desc("score"), "id").select("id", "score", "embedding").first()
 
-    def select(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (-r["score"], r["id"]))
-        v = np.array([r["embedding"] for r in rows], float)
-        at = greedy(np.array([r["score"] for r in rows]), v, n, trade)
-        return pa.table({"id": [rows[i]["id"] for i in at], "rank": pa.array(range(1, len(at) + 1), pa.int32()), "score": [float(rows[i]["score"]) for i in at]})
 
-    first = pool.select("id", "score", "embedding").orderBy(F.desc("score"), "id").limit(size)
-    return first.groupBy(F.lit(0).alias("all")).applyInArrow(lambda key, t: select(t.drop_columns(["all"]) if "all" in t.column_names else t), "id string, rank int, score double")
+def _after(rows: DataFrame, best: tuple, first: bool) -> DataFrame:
+    """The rows without the pick, with their likeness to all picks so far."""
+    like = dot("embedding", F.array(*[F.lit(float(x)) for x in best[2]]))
+    return rows.where(F.col("id") != best[0]).withColumn("like", like if first else F.greatest("like", like))
+
+
+def _slate(rows: DataFrame, picked: list[tuple]) -> DataFrame:
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.sparkSession.createDataFrame([(p[0], i + 1, float(p[1])) for i, p in enumerate(picked)], f"id {kind}, rank int, score double")
+
+
+def diversified(pool: DataFrame, n: int, trade: float = LAMBDA) -> DataFrame:
+    """(id, rank, score) of a greedy slate over (id, score, embedding): a distributed arg-max a round over all rows."""
+    pool = settled(pool.select("id", F.col("score").cast("double").alias("score"), "embedding"), "pool")
+    rows, picked = pool.withColumn("like", F.lit(0.0)), []
+    while len(picked) < n:
+        best = _best(rows.withColumn("value", trade * F.col("score") - (1 - trade) * F.col("like")))
+        if best is None:
+            break
+        picked.append(best)
+        rows = _after(rows, best, len(picked) == 1)
+    return _slate(pool, picked)
 
 
 def scout_slate(pool: DataFrame, n: int = 12) -> DataFrame:
-    """(id, rank, score): by falling score, whoever keeps a positive margin over its likeness to those accepted."""
-
-    def accept(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (-r["score"], r["id"]))
-        kept: list[dict] = []
-        for r in rows:
-            if len(kept) >= n:
-                break
-            like = max((float(np.dot(r["embedding"], k["embedding"])) for k in kept), default=0.0)
-            if LAMBDA * r["score"] - (1 - LAMBDA) * like > 0:
-                kept.append(r)
-        return pa.table({"id": pa.array([r["id"] for r in kept], pa.string()), "rank": pa.array(range(1, len(kept) + 1), pa.int32()), "score": pa.array([float(r["score"]) for r in kept], pa.float64())})
-
-    first = pool.select("id", "score", "embedding").orderBy(F.desc("score"), "id").limit(POOL)
-    return first.groupBy(F.lit(0).alias("all")).applyInArrow(lambda key, t: accept(t), "id string, rank int, score double")
+    """(id, rank, score): by falling score, whoever keeps a positive margin over its likeness to those accepted.
+
+    From the first pick on likeness only grows, so who once falls out never returns, and each round accepts the best left.
+    """
+    pool = settled(pool.select("id", F.col("score").cast("double").alias("score"), "embedding"), "pool")
+    rows, picked = pool.withColumn("like", F.lit(0.0)), []
+    while len(picked) < n:
+        able = rows.where(LAMBDA * F.col("score") - (1 - LAMBDA) * F.col("like") > 0)
+        best = able.orderBy(F.desc("score"), "id").select("id", "score", "embedding").first()
+        if best is None:
+            break
+        picked.append(best)
+        rows = _after(able if len(picked) > 1 else rows, best, len(picked) == 1)
+    return _slate(pool, picked)

@@ -2,7 +2,7 @@
 
 import pytest
 
-from quillgraph.operators import distances
+from quillgraph.operators import distances, ranking
 from quillgraph.plans import registry
 
 
@@ -10,3 +10,12 @@ def test_graph_distances_refuses_what_it_cannot_hold(spark, sf, monkeypatch):
     monkeypatch.setattr(distances, "MAX_NODES", 10)
     with pytest.raises(ValueError, match="more than 10 nodes"):
         registry.queries()["graph_distances"](spark, sf).collect()
+
+
+def test_slates_see_past_thousands_of_copies(spark):
+    rows = [(f"a{i:04d}", 0.9 - i * 1e-6, [1.0, 0.0, 0.0]) for i in range(2100)] + [("b", 0.8, [0.0, 1.0, 0.0]), ("c", 0.7, [0.0, 0.0, 1.0])]
+    pool = spark.createDataFrame(rows, "id string, score double, embedding array<double>")
+    assert [r.id for r in ranking.diversified(pool, 3).orderBy("rank").collect()] == ["a0000", "b", "c"]
+    low = pool.withColumn("score", pool.score - 0.6)  # too low for a second copy
+    assert [r.id for r in ranking.scout_slate(low, 3).orderBy("rank").collect()] == ["a0000", "b", "c"]
+    assert ranking.diversified(pool.limit(0), 3).count() == ranking.scout_slate(pool.limit(0), 3).count() == 0
