@@ -155,8 +155,9 @@ def opposed_orientations(m: Model) -> DataFrame:
 
 @query()
 def causal_dag(m: Model) -> DataFrame:
-    """ITR-07, GRF-08: the acyclic influence graph, with the edges that had to be turned"""
-    return causal.acyclic(causal.oriented(m.semantic_edges.withColumn("etype", F.lit("semantic")), m.corpus, m.citation_edges))
+    """ITR-07, GRF-08: the acyclic influence graph of all layers, the edges that had to be turned, and penalties of anomalies"""
+    arcs = G.settled(causal.acyclic(causal.oriented(m.combined_edges, m.corpus, m.citation_edges)), "dag")
+    return causal.penalised(arcs, causal.dag_anomalies(arcs, m.corpus, m.citation_edges))
 
 
 @query(

@@ -2,8 +2,9 @@
 
 import pytest
 
-from quillgraph.operators import distances, ranking
+from quillgraph.operators import causal, distances, fusion, ranking
 from quillgraph.plans import registry
+from quillgraph.plans.model import Model
 
 
 def test_graph_distances_refuses_what_it_cannot_hold(spark, sf, monkeypatch):
@@ -19,3 +20,17 @@ def test_slates_see_past_thousands_of_copies(spark):
     low = pool.withColumn("score", pool.score - 0.6)  # too low for a second copy
     assert [r.id for r in ranking.scout_slate(low, 3).orderBy("rank").collect()] == ["a0000", "b", "c"]
     assert ranking.diversified(pool.limit(0), 3).count() == ranking.scout_slate(pool.limit(0), 3).count() == 0
+
+
+def test_causal_dag_holds_all_layers_and_penalties(spark, sf):
+    m = Model(spark, sf)
+    got = {frozenset((r.src, r.dst)): r for r in registry.queries()["causal_dag"](spark, sf).collect()}
+    pairs = lambda edges: {frozenset((r.src, r.dst)) for r in edges.select("src", "dst").collect()}
+    cited, semantic = pairs(m.citation_edges.where("etype = 'citation'")), pairs(m.semantic_edges)
+    assert got.keys() <= pairs(m.combined_edges) and (cited - semantic) & got.keys() and got.keys() - semantic - cited
+    direct = m.citation_edges.where("etype = 'citation'")
+    ways = {(r.src, r.dst) for r in direct.collect()}
+    future = causal.anomalies(direct, m.corpus).where("reason = 'future_citation'").collect()
+    ends = [got[p] for r in future if (p := frozenset((r.src, r.dst))) in got and (r.dst, r.src) not in ways]
+    assert ends and all(r.confidence <= 0.27 and r.anomaly for r in ends)  # an arc turned twice is not in the result
+    assert any(r.anomaly for r in got.values())
