@@ -12,6 +12,7 @@ from quillgraph.operators import distances as D
 from quillgraph.operators import fusion, hierarchy, learning
 from quillgraph.operators import graph as G
 from quillgraph.operators import ranking as R
+from quillgraph.operators.citations import coupling
 from quillgraph.plans import scoring
 from quillgraph.plans.model import AS_OF_YEAR, Model
 from quillgraph.plans.registration import r6, registrar
@@ -48,9 +49,9 @@ def merge_peaks(m: Model) -> DataFrame:
 
 @query()
 def network_fusion(m: Model) -> DataFrame:
-    """ITR-01: three rounds of cross-diffusion of the semantic and citation networks"""
-    citation = m.citation_edges.where("etype = 'bib_coupling' and weight >= 0.03").select("src", "dst", "weight")
-    return fusion.fuse(m.semantic_edges, citation, rounds=3)
+    """ITR-01: cross-diffusion of the semantic network and all coupling of the corpus"""
+    own = m.refs.join(m.corpus.select("paper_id"), "paper_id", "left_semi")
+    return fusion.fuse(m.semantic_edges, G.both_ways(coupling(own)))
 
 
 @query(

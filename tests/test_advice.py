@@ -34,3 +34,16 @@ def test_causal_dag_holds_all_layers_and_penalties(spark, sf):
     ends = [got[p] for r in future if (p := frozenset((r.src, r.dst))) in got and (r.dst, r.src) not in ways]
     assert ends and all(r.confidence <= 0.27 and r.anomaly for r in ends)  # an arc turned twice is not in the result
     assert any(r.anomaly for r in got.values())
+
+
+def test_network_fusion_takes_the_whole_coupling(spark, sf, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(fusion, "fuse", lambda semantic, citation, **more: seen.update(pairs=citation, **more) or semantic)
+    registry.queries()["network_fusion"](spark, sf)
+    m = Model(spark, sf)
+    refs = {}
+    for r in m.refs.join(m.corpus.select("paper_id"), "paper_id", "left_semi").collect():
+        refs.setdefault(r.paper_id, set()).add(r.ref_id)
+    want = {(a, b) for a in refs for b in refs if a != b and refs[a] & refs[b]}
+    assert {(r.src, r.dst) for r in seen.pop("pairs").collect()} == want
+    assert "rounds" not in seen  # the operator's own fifteen
