@@ -19,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a fresh temporary one only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, a temporary one, in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
     if not _OWN_FOLDER:
         folder = tempfile.TemporaryDirectory(prefix="quillgraph-")
         atexit.register(folder.cleanup)
@@ -33,13 +35,36 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The table stays until the application ends; it then goes with the folder's own retention, or at exit
-    for the temporary folder of tests.
+    The table stays until ``discard`` or the folder's own retention removes it, since results are read from it lazily.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quillgraph/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._quillgraph_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that no later plan reads."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._quillgraph_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Keys that ``hot_join`` broadcasts, at most.
+HOT_KEYS = 5_000
+
+
+def hot_join(rows: DataFrame, side: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` joined with ``side``, one row a key, whose column ``size`` counts the key's rows among ``total``.
+
+    Keys with more than a HOT_KEYS-th of all rows, which number HOT_KEYS at most, are broadcast, so that no key that
+    fills a task is shuffled; the others are joined by a shuffle.
+    """
+    is_hot = F.col(size) * HOT_KEYS > total
+    hot, cool = side.where(is_hot).drop(size), side.where(~is_hot).drop(size)
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cool, key))
 
 
 def crc_rest(column: str, modulus: int):

@@ -4,10 +4,11 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 import xxhash
 
-from quillgraph.llm import fingerprints, neardup, neighbours, packing, tokenizer
+from quillgraph.llm import common, fingerprints, neardup, neighbours, packing, tokenizer
 from tests.llm.cases import documents, nothing, texts
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -177,7 +178,8 @@ def test_near_duplicates_on_a_table(spark):
     assert {r.doc_id: r.component_id for r in rows} == plain_components(prints)
 
 
-def test_links_of_dense_groups(spark, monkeypatch):
+@pytest.mark.parametrize("most", [65_536, 100])
+def test_links_of_dense_groups(spark, monkeypatch, most):
     rng = np.random.default_rng(9)
     centre = int(rng.integers(0, 1 << 63))
     prints = {centre}
@@ -189,12 +191,26 @@ def test_links_of_dense_groups(spark, monkeypatch):
     prints |= {int(x) for x in rng.integers(0, 1 << 63, 400)}
     prints = sorted(prints)
     monkeypatch.setattr(neardup, "DENSE", 40)
-    df = spark.createDataFrame([(i, neardup._signed(f)) for i, f in enumerate(prints)], "doc_id long, fp long")
-    got = {r.fp: r.component_id for r in neardup.classes(df).collect()}
+    monkeypatch.setattr(neardup, "MOST", most)
+    monkeypatch.setattr(neardup, "SAMPLED", 2)
+    df = spark.createDataFrame([(i, i, neardup._signed(f)) for i, f in enumerate(prints)], "doc_id long, th long, fp long")
+    got = {r.fp: r.component_id for r in neardup.classes(df)[0].collect()}
     want = plain_components(list(enumerate(prints)))
     assert {i: got[neardup._signed(f)] for i, f in enumerate(prints)} == want
 
 
+def test_a_hot_group_and_rows_without_numbers(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_KEYS", 3)  # the copies are broadcast, the others shuffled
+    words = [f"word{i} and more of text{i} to read" for i in range(40)]
+    rows = [(i, "one text that most rows hold here") for i in range(300)] + [(1000 + i, w) for i, w in enumerate(words)]
+    rows += [(None, "a first text without a number"), (None, "a second text of no number at all"), (None, "a first text without a number")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    kept = sorted((r.doc_id is not None, r.doc_id or 0, r.text) for r in neardup.representatives(docs).collect())
+    want = {(i is not None, i or 0, t) for i, t in rows if i is None or i == 0 or i >= 1000}
+    assert kept == sorted(want)
+    assert sorted((r.doc_id, r.component_id) for r in neardup.components(docs).collect() if r.doc_id is not None) == sorted((i, 0 if i < 300 else i) for i, _ in rows if i is not None)
+
+
 def test_representatives(spark):
     docs = documents(spark)
     kept = neardup.representatives(docs)
