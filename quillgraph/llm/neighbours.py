@@ -10,10 +10,12 @@ Cells are gathered into shards of at most SHARD_ROWS entries (a larger cell is s
 only to shards that hold one of its cells, and each shard streams its queries past its entries: memory is bounded by
 the shard, and what leaves it is K rows a query. Centroids and cell counts number MAX_CENTROIDS^2 at most.
 
-Defined results: vectors that are null, all zero, of another than the table's largest dimension, or that hold null or
-non-finite components take no part, nor do rows without vec_id; ties go to the smaller vec_id; rows that repeat a
-vec_id are each candidates, but a query runs once (its smallest vector); an empty table gives an empty result; other
-columns are ignored.
+Vectors of different dimensions have no distance: each dimension of the table is searched by itself. A dimension of at
+most FEW_ROWS vectors needs no index; all such dimensions are answered by brute force, a group a dimension.
+
+Defined results: vectors that are null, empty, all zero, or that hold null or non-finite components take no part, nor do
+rows without vec_id; ties go to the smaller vec_id; rows that repeat a vec_id are each candidates, but a query runs once
+(its smallest vector of each dimension); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ ROWS_PER_CELL = 32
 MOST_SHARDS = 256
 LEAST_SHARD_ROWS, SHARD_ROWS = 512, 65_536
 RECALL = 0.97
+#: Vectors of a dimension up to which it is searched by brute force, in one group.
+FEW_ROWS = 512
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -117,7 +121,7 @@ def fit(sample: np.ndarray, n_rows: int) -> Index:
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding as doubles) of the rows that can take part, whatever their dimension."""
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where("vec_id is not null")
-    return rows.where("embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(embedding, x -> x <> 0)")
+    return rows.where("embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(embedding, x -> x <> 0)")
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -141,19 +145,40 @@ def best(q: np.ndarray, ids: np.ndarray, x: np.ndarray, own: int, k: int, rough:
 
 
 def search(vectors: DataFrame, asking: DataFrame, k: int = K) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each vector of ``asking`` its k nearest found among ``vectors``."""
-    spark = vectors.sparkSession
-    rows, queries = usable(vectors), usable(asking)
-    dim = rows.agg(F.max(F.size("embedding"))).first()[0]
-    if dim is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows, queries = (x.where(F.size("embedding") == dim) for x in (rows, queries))
+    """(query_id, rank, vec_id, score): for each vector of ``asking`` its k nearest found among ``vectors`` of its dimension."""
+    rows, queries = (usable(x).withColumn("dim", F.size("embedding")) for x in (vectors, asking))
+    queries = queries.groupBy("dim", "vec_id").agg(F.min("embedding").alias("embedding"))
+    counts = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    few = sorted(d for d, n in counts.items() if n <= FEW_ROWS)
+    found = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+    for dim in sorted(counts.keys() - set(few)):
+        found = found.unionByName(searched(*(x.where(F.col("dim") == dim).drop("dim") for x in (rows, queries)), dim, counts[dim], k))
+    if few:
+        found = found.unionByName(compared(*(x.where(F.col("dim").isin(few)) for x in (rows, queries)), k))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def compared(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score) by brute force inside each dimension, which holds FEW_ROWS at most."""
+
+    def run(key, table):
+        dim = key[0].as_py()
+        asks = table["asks"].to_numpy()
+        ids, x = table["vec_id"].to_numpy(), _matrix(table["embedding"].combine_chunks(), dim)
+        e_ids, e = ids[~asks], x[~asks]
+        out = [(int(i), v, d) for i, q in zip(ids[asks], x[asks], strict=True) for v, d in best(q, e_ids, e, i, k, ((e - q) ** 2).sum(1))]
+        return pa.table([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_FOUND)], schema=_FOUND)
+
+    marked = [x.select("dim", F.lit(asks).alias("asks"), "vec_id", "embedding") for x, asks in ((rows, False), (queries, True))]
+    return marked[0].unionByName(marked[1]).groupBy("dim").applyInArrow(run, "query_id long, vec_id long, score double")
+
+
+def searched(rows: DataFrame, queries: DataFrame, dim: int, n: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score) by the index, all vectors of one dimension: k a shard, of which the best k count."""
     if dim == 1:  # two halves are needed
         rows, queries = (x.withColumn("embedding", F.concat("embedding", F.array(F.lit(0.0)))) for x in (rows, queries))
         dim = 2
-    n = rows.count()
-    queries = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-
     chance = F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.where(chance < min(1.0, SAMPLE_ROWS / n)).orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(2 * SAMPLE_ROWS)
     sample = np.array([r.embedding for r in sample.collect()], float).reshape(-1, dim)
@@ -235,9 +260,7 @@ def search(vectors: DataFrame, asking: DataFrame, k: int = K) -> DataFrame:
             yield record(_FOUND, query_id=[r[0] for r in out], vec_id=[r[1] for r in out], score=[r[2] for r in out])
 
     both = rows.select("vec_id", "embedding").mapInArrow(as_entries, _ROWS_SQL).unionByName(queries.select("vec_id", "embedding").mapInArrow(as_queries, _ROWS_SQL))
-    found = both.repartition("shard").sortWithinPartitions("shard", "asks", "vec_id").mapInArrow(answered, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return both.repartition("shard").sortWithinPartitions("shard", "asks", "vec_id").mapInArrow(answered, "query_id long, vec_id long, score double")
 
 
 def op5_multi_index_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
