@@ -17,7 +17,7 @@ import re
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import crc_rest, record, slices, table, text_udf, texts_of
@@ -26,14 +26,13 @@ UNKNOWN = "und"
 #: Bytes of a language's dictionary, and of the blocks compressed against it.
 DICTIONARY_BYTES = 64 * 1024
 BLOCK_CHARS = 16 * 1024
-#: Documents sampled for each language at most, about; characters taken from each.
-SAMPLE_DOCS = 400
-SAMPLE_CHARS = 2_000
+#: Different texts sampled for each language, about; windows taken from each, and their length.
+SAMPLE_DOCS = 100
+PIECES = 2
+PIECE_CHARS = 400
 LEVEL = 9
-#: Relative margin under which a text is rejected, for texts of MIN_LETTERS letters and more.
+#: Relative margin under which a text is rejected.
 NARROW = 0.02
-#: Shorter texts hardly compress: nothing speaks against them, and they are kept whatever the margin.
-MIN_LETTERS = 200
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -71,26 +70,47 @@ class Compressors:
             return self.names[at], 1.0, 1.0, True
         margin = (min(others) - best) / best
         score = 1 / (1 + sum(math.exp(-min(50.0, (s - best) / 4)) for s in others))
-        return self.names[at], score, margin, margin >= NARROW or len(plain) < MIN_LETTERS
+        return self.names[at], score, margin, margin >= NARROW
+
+
+def pieces(text: Column) -> Column:
+    """PIECES windows of PIECE_CHARS, spread evenly over the whole text; a shorter text whole."""
+    room = F.length(text) - PIECE_CHARS
+    windows = [F.substring(text, (F.floor(room * i / (PIECES - 1)) + 1).cast("int"), F.lit(PIECE_CHARS)) for i in range(PIECES)]
+    return F.when(F.length(text) <= PIECES * PIECE_CHARS, text).otherwise(F.concat_ws(" ", *windows))
+
+
+def dictionary(texts: list[str]) -> bytes:
+    """The texts' letters one after the other, of each an equal share of DICTIONARY_BYTES and what shorter ones leave over."""
+    parts = sorted((letters(t).encode() for t in texts), key=len)
+    out, room = [], DICTIONARY_BYTES
+    for i, part in enumerate(parts):
+        share = max(0, room // (len(parts) - i) - 1)
+        out.append(part[:share])
+        room -= len(out[-1]) + 1
+    return b" ".join(x for x in out if x)
 
 
 def fit(labelled: DataFrame) -> dict[str, bytes]:
-    """Dictionaries from a bounded sample of (text, lang): about SAMPLE_DOCS documents a language, by a hash of the text.
+    """Dictionaries from a bounded sample of (text, lang): about SAMPLE_DOCS different texts a language, by a hash of the text.
 
-    The first pass counts documents by language; the second keeps those whose hash falls under their language's rate.
+    The first pass counts each language's documents and (about) its different texts; the second keeps those whose hash falls
+    under the language's rate, all of them where there are few: no language is left without texts, however often they repeat.
+    Of each sampled text go PIECES windows to the driver.
     """
-    known = labelled.where("lang is not null and text is not null and length(text) > 0").select("lang", "text")
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    known = labelled.where("lang is not null and text is not null and length(text) > 0").select("lang", "text", F.xxhash64("text").alias("h"))
+    counts = {r.lang: (r.n, r.distinct) for r in known.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("distinct")).collect()}
     if not counts:
         return {}
-    rate = F.coalesce(*[F.when(F.col("lang") == name, F.lit(min(1.0, SAMPLE_DOCS / n))) for name, n in sorted(counts.items())])
-    chance = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    picked = known.where(chance < rate).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("text").alias("h"))
+    rate = F.coalesce(*[F.when(F.col("lang") == name, F.lit(min(1.0, SAMPLE_DOCS / distinct if distinct > 2 * SAMPLE_DOCS else 1.0))) for name, (_, distinct) in sorted(counts.items())])
+    chance = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
+    picked = known.where(chance < rate).groupBy("lang", "h").agg(F.min(pieces(F.col("text"))).alias("text"))
     parts: dict[str, list[str]] = {}
-    for r in picked.distinct().orderBy("lang", "h", "text").limit(4 * SAMPLE_DOCS * len(counts)).collect():
-        parts.setdefault(r.lang, []).append(letters(r.text))
-    order = sorted(parts, key=lambda name: (-counts[name], name))
-    return {name: " ".join(parts[name]).encode()[-DICTIONARY_BYTES:] for name in order if any(parts[name])}
+    for r in picked.orderBy("lang", "h").limit(4 * SAMPLE_DOCS * len(counts)).collect():
+        parts.setdefault(r.lang, []).append(r.text)
+    order = sorted(parts, key=lambda name: (-counts[name][0], name))
+    made = {name: dictionary(parts[name]) for name in order}
+    return {name: d for name, d in made.items() if d}
 
 
 def held_in(docs: DataFrame) -> DataFrame:
