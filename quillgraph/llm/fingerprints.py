@@ -1,18 +1,18 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
 A sketch keeps every distinct shingle hash below 2^64 / SCALE, so its size follows the text, sketches of any sizes
-merge by union, and containment of a short text in a very long one can be estimated. Texts with few shingles keep
-their FLOOR smallest hashes whatever the threshold. Two sketches are compared below the smaller of their bounds: the
-threshold, or for a topped-up sketch its largest hash, or no bound where every hash was kept.
+merge by union, and containment of a short text in a very long one can be estimated. Nothing else is kept or topped up:
+a text of a few shingles may have an empty sketch.
 
 Shingles are five words (runs between ASCII blanks, A-Z in lower case); fewer words are one shingle.
 
 ``beside_next`` compares every document with an edited copy of itself and with the next document by descending
 doc_id. One shuffle deals whole texts into ranges of doc_id; the first row of each range is dealt to the range before
-it as well, so that neighbours meet, and rows stream through in order with one row kept back.
+it as well, so that neighbours meet, and rows stream through in order with one row kept back. Many rows of one doc_id,
+or of none, are a range that is split further by the hash of their texts.
 
-Defined results: a null or empty text has an empty sketch; two empty sketches are alike to 1, an empty and another
-one to 0; rows without doc_id come last, equal doc_ids are ordered by their texts; the last row's next is the first;
+Defined results: a null or empty text has an empty sketch; two empty sketches are alike to 1 if the texts are equal and
+to 0 otherwise, an empty and another one to 0; rows without doc_id come last, equal doc_ids are ordered by their texts; the last row's next is the first;
 a single row is its own next; repeated rows are each reported; other columns are ignored.
 """
 
@@ -29,8 +29,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import record, slices, table
 
 SHINGLE = 5
-SCALE = 8
-FLOOR = 32
+SCALE = 4
 THRESHOLD = np.uint64((1 << 64) // SCALE)
 #: Rows of a range of doc_id, about, and the most ranges (parallelism only: a range is streamed).
 RANGE_ROWS = 2_000
@@ -51,7 +50,7 @@ def shingle_hashes(text: str) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    if len(_WORDS) > 500_000:
+    if len(_WORDS) > 200_000:
         _WORDS.clear()
     known, hashes = _WORDS.get, []
     for w in words:
@@ -68,29 +67,19 @@ def shingle_hashes(text: str) -> np.ndarray:
 
 
 def sketch(text: str) -> np.ndarray:
-    h = np.unique(shingle_hashes(text))
-    return h[: max(int(np.searchsorted(h, THRESHOLD)), FLOOR)]
-
-
-def bound(s: np.ndarray) -> int:
-    """All hashes of the text up to this one are in the sketch."""
-    return (1 << 64) - 1 if len(s) < FLOOR else max(int(THRESHOLD) - 1, int(s[-1]))
+    h = shingle_hashes(text)
+    return np.unique(h[h < THRESHOLD])
 
 
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The sketch of both texts' shingles together."""
-    top = min(bound(a), bound(b))
-    both = np.union1d(a, b)
-    return both if len(a) < FLOOR and len(b) < FLOOR and len(both) < FLOOR else both[: max(int(np.searchsorted(both, np.uint64(top), "right")), 0)]
-
-
-def compare(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
-    """Estimates of Jaccard likeness, of the share of a's shingles in b, and of b's in a."""
-    if not len(a) or not len(b):
-        same = float(len(a) == len(b))
-        return same, same, same
-    top = np.uint64(min(bound(a), bound(b)))
-    a, b = a[: np.searchsorted(a, top, "right")], b[: np.searchsorted(b, top, "right")]
+    return np.union1d(a, b)
+
+
+def compare(a: np.ndarray, b: np.ndarray, equal: bool = False) -> tuple[float, float, float]:
+    """Estimates of Jaccard likeness, of the share of a's shingles in b, and of b's in a; ``equal`` decides on empty sketches."""
+    if not len(a) and not len(b):
+        return float(equal), float(equal), float(equal)
     common = len(np.intersect1d(a, b, assume_unique=True))
     either = len(a) + len(b) - common
     return (common / either if either else 0.0, common / len(a) if len(a) else 0.0, common / len(b) if len(b) else 0.0)
@@ -141,8 +130,8 @@ def _neighbours(batches):
                 _, before_id, before, print_ = held
                 changed = edited(before, text)
                 print_changed = sketch(changed)
-                near = compare(print_, print_changed)
-                near_next = compare(print_, mine)
+                near = compare(print_, print_changed, before == changed)
+                near_next = compare(print_, mine, before == text)
                 out.append((before_id, len(before), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), rendered(print_), rendered(print_changed), near[0], near_next[0], near[1], near_next[1]))
             held = None if borrowed else (at, doc_id, text, mine)
         yield record(_OUT, **{n: [r[i] for r in out] for i, n in enumerate(_OUT.names)})
@@ -172,20 +161,26 @@ def beside_next(docs: DataFrame) -> DataFrame:
         at = range_of("doc_id")
     last = len(cuts) + 1
     placed = lambda df: df.withColumn("at", F.when(F.col("doc_id").isNull(), F.lit(last)).otherwise(at).cast("int"))
-    heads = {r["at"]: r.head for r in placed(ids).groupBy("at").agg(F.max("doc_id").alias("head")).collect()}
+    told = {r["at"]: r for r in placed(ids).groupBy("at").agg(F.max("doc_id").alias("head"), F.min("doc_id").alias("tail"), F.count("*").alias("n")).collect()}
+    # Ranges that hold one doc_id only, or none, are split by the hash of the text, in which order their rows come.
+    parts = {k: min(MAX_RANGES, -(-r.n // RANGE_ROWS)) for k, r in told.items() if r["head"] == r["tail"] and (r["head"] is None or r.n > 4 * RANGE_ROWS)}
+    h = F.xxhash64("text")
+    share = h.cast("double") / float(1 << 64) + 0.5
+    part = F.coalesce(*[F.when(F.col("at") == k, F.least(F.lit(m - 1), F.floor(share * m))) for k, m in sorted(parts.items())], F.lit(0)).cast("long")
+    dealt = lambda df: placed(df).withColumn("at", (F.col("at").cast("long") * (1 << 20) + part if parts else F.col("at").cast("long") * (1 << 20)))
+    heads = {(k << 20): (r["head"], None) for k, r in told.items() if k not in parts}
+    for r in dealt(placed(rows).where(F.col("at").isin(list(parts))).drop("at")).groupBy("at").agg(F.max("doc_id").alias("head"), F.min(h).alias("h")).collect() if parts else ():
+        heads[r["at"]] = (r["head"], r["h"])
     order = sorted(heads)
     # The head row of each range goes to the range before it too, the first one's to the last.
-    lender = {heads[a]: order[i - 1] for i, a in enumerate(order)}
-    pairs = [(k, v) for k, v in lender.items() if k is not None]
-    spark = docs.sparkSession
-    borrowed_by = spark.createDataFrame(pairs or [(0, 0)], "head long, borrower int").where(F.lit(bool(pairs)))
-    own = placed(rows).withColumn("borrowed", F.lit(False))
-    # Ranges number MAX_RANGES at most: so do these rows.
-    lent = rows.join(F.broadcast(borrowed_by), rows["doc_id"] == borrowed_by["head"]).select("doc_id", "text", F.col("borrower").alias("at"), F.lit(True).alias("borrowed"))
-    if None in lender:
-        lent = lent.unionByName(rows.where("doc_id is null").select("doc_id", "text", F.lit(lender[None]).alias("at"), F.lit(True).alias("borrowed")))
-    dealt = own.unionByName(lent).repartition("at").sortWithinPartitions("at", "borrowed", F.desc_nulls_last("doc_id"), F.xxhash64("text"), "text")
-    return dealt.select("at", "borrowed", "doc_id", "text").mapInArrow(_neighbours, ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'double' if f.type == pa.float64() else 'string'}" for f in _OUT))
+    pairs = [(*heads[k], order[i - 1]) for i, k in enumerate(order)]
+    borrowed_by = docs.sparkSession.createDataFrame(pairs, "head long, head_h long, borrower long")
+    own = dealt(rows).withColumn("borrowed", F.lit(False))
+    # Ranges number MAX_RANGES and the rows of their splits: so do these rows.
+    is_head = rows["doc_id"].eqNullSafe(borrowed_by["head"]) & F.coalesce(borrowed_by["head_h"] == F.xxhash64(rows["text"]), F.lit(True))
+    lent = rows.join(F.broadcast(borrowed_by), is_head).select("doc_id", "text", F.col("borrower").alias("at"), F.lit(True).alias("borrowed"))
+    both = own.unionByName(lent).repartition("at").sortWithinPartitions("at", "borrowed", F.desc_nulls_last("doc_id"), F.xxhash64("text"), "text")
+    return both.select("at", "borrowed", "doc_id", "text").mapInArrow(_neighbours, ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'double' if f.type == pa.float64() else 'string'}" for f in _OUT))
 
 
 def op6_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
