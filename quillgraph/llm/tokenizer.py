@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,11 +35,11 @@ from quillgraph.llm.common import record, slices, table, written
 
 BLOCK_CHARS = 24_000_000
 BLOCK_WORDS = 600_000
-#: Buckets of words: one for each BUCKET_CHARS of text, MAX_BUCKETS at most.
+#: Buckets of words: one for each BUCKET_CHARS of text, so that a bucket's distinct words hold about so many characters at
+#: most, whatever the corpus.
 BUCKET_CHARS = 16_000_000
-MAX_BUCKETS = 4_096
-#: Words whose ids a bucket keeps at hand; beyond, it forgets and encodes anew.
-KEPT_WORDS = 1_000_000
+#: Tasks of a stage; buckets and blocks beyond share tasks, one after the other.
+MOST_TASKS = 100_000
 
 
 class Vocabulary:
@@ -171,18 +170,18 @@ def _reassembled(docs: DataFrame, path: str, pattern: str, schema: pa.Schema, sq
     data = _file(path)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     chars = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    buckets = int(max(8, min(MAX_BUCKETS, -(-chars // BUCKET_CHARS))))
+    buckets = int(max(8, -(-chars // BUCKET_CHARS)))
 
     def word_lists(batches):
         vocabulary = Vocabulary.of(data, pattern)
         for block in blocks(batches, vocabulary):
-            dealt: list[list[tuple[bytes, int]]] = [[] for _ in range(buckets)]
+            dealt: dict[int, list[tuple[bytes, int]]] = {}
             for i, w in enumerate(block.words):
                 raw = w.encode("utf-8", "surrogatepass")
-                dealt[zlib.crc32(raw) % buckets].append((raw, i))
-            for own in dealt:
+                dealt.setdefault(xxhash.xxh32_intdigest(raw) % buckets, []).append((raw, i))
+            for own in dealt.values():
                 own.sort()
-            kept = [b for b in range(buckets) if dealt[b]]
+            kept = sorted(dealt)
             yield record(
                 _WORDS, bucket=kept, block=[block.name] * len(kept),
                 payload=[_squeezed(np.array([i for _, i in dealt[b]], np.uint32), np.array([len(w) for w, _ in dealt[b]], np.uint32), b"".join(w for w, _ in dealt[b])) for b in kept],
@@ -192,9 +191,12 @@ def _reassembled(docs: DataFrame, path: str, pattern: str, schema: pa.Schema, sq
         vocabulary = Vocabulary.of(data, pattern)
         encode = vocabulary.encoding.encode_ordinary
         kept: dict[bytes, list[int]] = {}
+        here = None
         for batch in batches:
             out = []
-            for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+            for bucket, block, payload in zip(*(batch.column(n).to_pylist() for n in _WORDS.names), strict=True):
+                if bucket != here:  # a task's buckets come one after the other
+                    here, kept = bucket, {}
                 at, sizes, raw = _opened(payload, "iib")
                 found, flat, spot = [], [], 0
                 for n in sizes.tolist():
@@ -205,8 +207,6 @@ def _reassembled(docs: DataFrame, path: str, pattern: str, schema: pa.Schema, sq
                         ids = kept[w] = encode(w.decode("utf-8", "surrogatepass"))
                     found.append(len(ids))
                     flat += ids
-                if len(kept) > KEPT_WORDS:
-                    kept = {}
                 out.append((block, _squeezed(at, np.array(found, np.uint32), np.array(flat, np.uint32))))
             yield record(_PARTS, block=[b for b, _ in out], place=[0] * len(out), payload=[p for _, p in out])
 
@@ -247,9 +247,12 @@ def _reassembled(docs: DataFrame, path: str, pattern: str, schema: pa.Schema, sq
                     ids = [ids_of.gather(at[ends[j] - int(sizes[j]) : ends[j]]) for j in own]
                     yield answer(vocabulary, [int(doc_ids[j]) if known[j] else None for j in own], ids)
 
-    back = rows.mapInArrow(word_lists, "bucket int, block long, payload binary").repartition(buckets, "bucket").mapInArrow(word_ids, "block long, place int, payload binary")
+    back = rows.mapInArrow(word_lists, "bucket int, block long, payload binary").repartition(min(buckets, MOST_TASKS), "bucket").sortWithinPartitions("bucket").mapInArrow(word_ids, "block long, place int, payload binary")
     parts = rows.mapInArrow(positions, "block long, place int, payload binary").unionByName(back)
-    return parts.repartition("block").sortWithinPartitions("block", "place").mapInArrow(joined, sql)
+    tasks = min(MOST_TASKS, 2 * -(-chars // BLOCK_CHARS))  # two tasks a block, about: most have one or none
+    default = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt_ = parts.repartition(int(tasks), "block") if tasks > default else parts.repartition("block")
+    return dealt_.sortWithinPartitions("block", "place").mapInArrow(joined, sql)
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, stored: bool = False) -> DataFrame:
