@@ -1,26 +1,29 @@
 """Variable-capacity best-fit packing.
 
-Documents are measured in words (runs between blanks); one longer than the largest permitted length is cut into
-pieces, none of which is lost. Pieces are dealt evenly into shards of about SHARD_PIECES, and each shard is packed by
-best-fit decreasing: a piece goes to the open bin that it leaves least room in; where none has room, a bin is opened
+Documents are measured in tokens of a byte-level BPE vocabulary, by ``tokens_of``, or by another given measure, such as
+``words_in``; one longer than the largest permitted length is cut into pieces, none of which is lost. Pieces are dealt
+evenly into shards of about SHARD_PIECES, and each shard is packed by best-fit decreasing: a piece goes to the open bin that it leaves least room in; where none has room, a bin is opened
 whose size has the least cost for each word it can be expected to hold, given what is still to come; in the end every
 bin is downsized to the smallest permitted length that holds its contents. A bin costs OVERHEAD + size +
 ATTENTION * size^2.
 
-Defined results: a null or blank text is one piece of length 0 in no bin; equal lengths are taken by row key, so the
-result does not depend on the order of rows; rows without doc_id and repeated rows are packed like others; an empty
-table gives an empty result; other columns are ignored.
+Defined results: a null or empty text is one piece of length 0 in no bin; equal lengths are taken by doc_id (none
+first), hash of the text, and piece, so the result does not depend on the order of rows; rows without doc_id and repeated
+rows are packed like others, rows of the same doc_id and text being counted first and dealt singly; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import record, slices, table, texts_of, written
+from quillgraph.llm.tokenizer import Vocabulary
 
 LENGTHS = (256, 512, 1024, 2048, 4096)
 OVERHEAD = 16.0
@@ -68,34 +71,51 @@ def pack(pieces: Sequence[int], lengths: Sequence[int] = LENGTHS) -> tuple[list[
     return bins, offsets, sizes
 
 
-_LENGTHS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64())])
+_LENGTHS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64())])
 
 
-def measured(docs: DataFrame) -> DataFrame:
+def words_in(text: str) -> int:
+    """Runs between blanks."""
+    return len(text.split())
+
+
+def tokens_of(path: str, pattern: str) -> Callable[[str], int]:
+    """A measure: tokens of the vocabulary at ``path``, which the driver reads and sends along."""
+    with open(path, "rb") as f:
+        data = f.read()
+    return lambda text: len(Vocabulary.of(data, pattern).encoding.encode_ordinary(text))
+
+
+def measured(docs: DataFrame, measure: Callable[[str], int]) -> DataFrame:
+    """(doc_id, th, n) a document; th is a hash of its text."""
+
     def run(batches):
         for batch in slices(batches):
-            yield record(_LENGTHS, doc_id=batch.column("doc_id"), n_words=[len(t.split()) for t in texts_of(batch)])
+            yield record(_LENGTHS, doc_id=batch.column("doc_id"), th=batch.column("th"), n=[measure(t) if t else 0 for t in texts_of(batch)])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, n long")
 
 
 _PACKED = "doc_id long, piece int, piece_start long, length int, bin_id long, capacity int, bin_offset int"
 
 
-def packed(docs: DataFrame, lengths: Sequence[int] = LENGTHS) -> DataFrame:
-    """One row a piece: where it starts in its document (in words), its length, its bin, the bin's size, its offset there."""
+def packed(docs: DataFrame, measure: Callable[[str], int] = words_in, lengths: Sequence[int] = LENGTHS) -> DataFrame:
+    """One row a piece: where it starts in its document and its length, by ``measure``, its bin, the bin's size, its offset there."""
     top = max(lengths)
-    keyed = written(measured(docs).withColumn("row", F.monotonically_increasing_id()), "lengths")
-    total = keyed.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("n_words") / top)))).first()[0] or 0
+    rows = measured(docs, measure).groupBy("doc_id", "th", "n").agg(F.count("*").alias("copies"))
+    keyed = written(rows, "lengths")
+    each = F.greatest(F.lit(1), F.ceil(F.col("n") / top))
+    total = keyed.agg(F.sum(F.col("copies") * each)).first()[0] or 0
     shards = max(1, -(-int(total) // SHARD_PIECES))
-    piece = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.ceil(F.col("n_words") / top) - 1).cast("int")))).alias("piece")
-    pieces = keyed.select("doc_id", "row", "n_words", piece).select(
-        "doc_id", "row", "piece", (F.col("piece").cast("long") * top).alias("piece_start"), F.least(F.lit(top), F.col("n_words") - F.col("piece").cast("long") * top).cast("int").alias("length")
-    )
+    single = keyed.select("doc_id", "th", "n", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    piece = F.explode(F.sequence(F.lit(0), (each - 1).cast("int"))).alias("piece")
+    start = F.col("piece").cast("long") * top
+    pieces = single.select("doc_id", "th", "copy", "n", piece).select("doc_id", "th", "copy", "piece", start.alias("piece_start"), F.least(F.lit(top), F.col("n") - start).cast("int").alias("length"))
     empty = pieces.where("length <= 0").select("doc_id", "piece", "piece_start", "length", F.lit(None).cast("long").alias("bin_id"), F.lit(None).cast("int").alias("capacity"), F.lit(None).cast("int").alias("bin_offset"))
 
     def shard(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("length", "descending"), ("row", "ascending"), ("piece", "ascending")])
+        by = [("length", "descending"), *((n, "ascending") for n in ("doc_id", "th", "copy", "piece"))]
+        rows = rows.take(pc.sort_indices(rows, by, null_placement="at_start"))
         bins, offsets, sizes = pack(rows["length"].to_pylist(), lengths)
         base = rows["shard"][0].as_py() << 24
         return pa.table(
@@ -103,12 +123,19 @@ def packed(docs: DataFrame, lengths: Sequence[int] = LENGTHS) -> DataFrame:
             | {"bin_id": pa.array([base + b for b in bins], pa.int64()), "capacity": pa.array([sizes[b] for b in bins], pa.int32()), "bin_offset": pa.array(offsets, pa.int32())}
         )
 
-    dealt = pieces.where("length > 0").withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)))
+    dealt = pieces.where("length > 0").withColumn("shard", F.pmod(F.xxhash64("doc_id", "th", "copy", "piece"), F.lit(shards)))
     return dealt.groupBy("shard").applyInArrow(shard, _PACKED).unionByName(empty)
 
 
+def public_measure() -> Callable[[str], int]:
+    """Tokens of the public vocabulary that op9 uses."""
+    import public_tokenizers
+
+    return tokens_of(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"))
+    return packed(table(spark, sf_dir, "documents"), public_measure())
 
 
 QUERIES = {"op10_bestfit_packing": op10_bestfit_packing}
