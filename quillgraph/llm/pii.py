@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -153,13 +154,15 @@ def _votes(kind: str, text: str, start: int, end: int, is_base: bool) -> str:
 def candidates(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, str]]]:
     """Base spans, and further candidates with their vote patterns; base spans carry votes through ``patterns``."""
     base, failed = base_spans(text)
-    taken = {k: [s for s in base if s[0] == k] for k in KINDS}
+    taken = {k: [s for s in base if s[0] == k] for k in KINDS}  # by start, and apart from each other
+    starts = {k: [a for _, a, _ in own] for k, own in taken.items()}
     more = [(k, a, b, _votes(k, text, a, b, False)) for k, a, b in failed]
     digit = _DIGIT.search(text)
     for kind, loose in _LOOSE.items():
         if any(x in text for x in _NEEDS[kind]) if kind in _NEEDS else digit:
             for m in loose.finditer(text):
-                if not any(a < m.end() and m.start() < b for _, a, b in taken.get(kind, ())):
+                at = bisect_left(starts.get(kind, ()), m.end())
+                if not at or taken[kind][at - 1][2] <= m.start():
                     more.append((kind, *m.span(), _votes(kind, text, *m.span(), False)))
     return base, more
 
