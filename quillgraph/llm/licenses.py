@@ -5,14 +5,14 @@ of all positions are joined with the templates' positions; a hit at word p of th
 for the diagonal p - t. Neighbouring diagonals (an inserted or missing word shifts the rest by one) are merged, and a
 merged span is kept if the words that its hits cover are enough of the template and of the span itself.
 
-All k-grams are computed, whole texts through; the pass over the texts keeps those whose hash is a template's (the
-templates are constants, so the set is bounded), and the join in Spark pairs them with the templates' positions. The
-kept hits and counts are a written table of one small row a document.
+All k-grams of the whole texts go to Spark, which joins them with the broadcast table of the templates' positions (the
+templates are constants, so it is bounded). Verified spans come back to the documents by doc_id and a hash of the text,
+broadcast while they are few.
 
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, A-Z in lower case, so bytes serve.
 
 Defined results: a null or empty text has no words and no labels, score 0; rows without doc_id and repeated rows are
-each reported (rows are told apart by a row number, not by doc_id); a text with a template many times has a span for
+each reported (rows of the same doc_id and text have the same result, others are told apart by the text); a text with a template many times has a span for
 each; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -117,65 +117,76 @@ def base_places(words: list[bytes]) -> list[tuple[int, str]]:
     found = []
     for phrase, label in PHRASES.items():
         sought = f" {phrase} ".encode()
-        at = joined.find(sought)
+        at, before, word = joined.find(sought), 0, 0
         while at >= 0:
-            found.append((joined.count(b" ", 0, at), label))
-            at = joined.find(sought, at + 1)
+            word += joined.count(b" ", before, at)
+            found.append((word, label))
+            before, at = at, joined.find(sought, at + 1)
     return sorted(found)
 
 
-_SCANNED = pa.schema(
-    [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base", pa.list_(pa.string())), ("at", pa.list_(pa.int64())), ("hash", pa.list_(pa.int64()))]
-)
-_SCANNED_SQL = "doc_id long, n_words long, n_base long, first_word long, last_word long, base array<string>, at array<long>, hash array<long>"
+_COUNTED = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base", pa.list_(pa.string()))])
+_GRAMS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("grams", pa.list_(pa.int64()))])
+#: Rows of spans that are broadcast to the documents; more are joined by a shuffle of small rows.
+BROADCAST_ROWS = 200_000
 
 
-def scanned(docs: DataFrame, hashes: np.ndarray) -> DataFrame:
-    """One row a document: counts, base places, and the k-grams whose hash is one of ``hashes``."""
-    hashes = np.unique(hashes)
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """One row a document: number of words, base places and labels."""
 
     def run(batches):
-        rough = np.zeros(1 << 16, bool)
-        rough[hashes & np.uint64(0xFFFF)] = True
         for batch in slices(batches):
             rows = []
             for text in texts_of(batch):
                 words = words_of(text)
-                grams = kgram_hashes(words)
-                at = np.flatnonzero(rough[grams & np.uint64(0xFFFF)])
-                at = at[np.isin(grams[at], hashes)]
                 base = base_places(words)
-                rows.append((len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None, sorted({label for _, label in base}), at.tolist(), grams[at].view(np.int64).tolist()))
-            yield record(_SCANNED, doc_id=batch.column("doc_id"), **{n: [r[i] for r in rows] for i, n in enumerate(_SCANNED.names[1:])})
+                rows.append((len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None, sorted({label for _, label in base})))
+            yield record(_COUNTED, doc_id=batch.column("doc_id"), th=batch.column("th"), **{n: [r[i] for r in rows] for i, n in enumerate(_COUNTED.names[2:])})
+
+    return _keyed(docs).mapInArrow(run, "doc_id long, th long, n_words long, n_base long, first_word long, last_word long, base array<string>")
+
+
+def rolling(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, at, hash): every k-gram of every text."""
+
+    def run(batches):
+        for batch in slices(batches):
+            yield record(_GRAMS, doc_id=batch.column("doc_id"), th=batch.column("th"), grams=[kgram_hashes(words_of(t)).view(np.int64) for t in texts_of(batch)])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SCANNED_SQL)
+    grams = _keyed(docs).mapInArrow(run, "doc_id long, th long, grams array<long>")
+    return grams.select("doc_id", "th", F.posexplode("grams").alias("at", "hash"))
 
 
 def spans(hits: DataFrame, templates: DataFrame) -> DataFrame:
-    """(row, label, start, stop, cover): verified spans from (row, at, hash)."""
+    """(doc_id, th, label, start, stop, cover): verified spans from (doc_id, th, at, hash)."""
     voted = hits.join(F.broadcast(templates), "hash").withColumn("diagonal", F.col("at") - F.col("position"))
-    diagonals = voted.groupBy("row", "template", "diagonal").agg(F.first("label").alias("label"), F.first("length").alias("length"), F.sort_array(F.collect_set("at")).alias("ats"))
-    by = Window.partitionBy("row", "template").orderBy("diagonal")
+    row = ["doc_id", "th"]
+    diagonals = voted.groupBy(*row, "template", "diagonal").agg(F.first("label").alias("label"), F.first("length").alias("length"), F.sort_array(F.collect_set("at")).alias("ats"))
+    by = Window.partitionBy(*row, "template").orderBy("diagonal")
     fresh = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by) > NEAR).cast("int"), F.lit(1))
     merged = diagonals.withColumn("fresh", fresh).withColumn("span", F.sum("fresh").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = merged.groupBy("row", "template", "span").agg(F.first("label").alias("label"), F.first("length").alias("length"), F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"))
+    merged = merged.groupBy(*row, "template", "span").agg(F.first("label").alias("label"), F.first("length").alias("length"), F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("ats", lambda p: F.sequence(p, p + (K - 1))))))
     start, stop = F.array_min("ats"), F.array_max("ats") + K
-    told = merged.select("row", "label", start.alias("start"), stop.alias("stop"), covered.alias("covered"), "length")
+    told = merged.select(*row, "label", start.alias("start"), stop.alias("stop"), covered.alias("covered"), "length")
     enough = (F.col("covered") >= COVER * F.col("length")) | (F.col("covered") >= WORDS)
-    return told.where(enough & (F.col("covered") >= COVER * (F.col("stop") - F.col("start")))).select("row", "label", "start", "stop", F.least(F.lit(1.0), F.col("covered") / F.col("length")).alias("cover"))
+    return told.where(enough & (F.col("covered") >= COVER * (F.col("stop") - F.col("start")))).select(*row, "label", "start", "stop", F.least(F.lit(1.0), F.col("covered") / F.col("length")).alias("cover"))
 
 
 def detect(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
     """One row a document: counts, base places, labels, score, and the verified spans in words."""
     spark = docs.sparkSession
-    rows = template_rows(templates)
-    constant = spark.createDataFrame(rows, "label string, template int, length int, position int, hash long")
-    found = written(scanned(docs, np.array([r[4] for r in rows], np.int64).view(np.uint64)).withColumn("row", F.monotonically_increasing_id()), "licenses")
-    hits = found.where(F.size("at") > 0).select("row", F.explode(F.arrays_zip("at", "hash")).alias("h")).select("row", "h.at", "h.hash")
-    verified = spans(hits, constant)
-    told = verified.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("cover").alias("cover"), F.sort_array(F.collect_set(F.struct("start", "stop", "label"))).alias("spans"))
-    out = found.join(told, "row", "left")
+    constant = spark.createDataFrame(template_rows(templates), "label string, template int, length int, position int, hash long")
+    verified = spans(rolling(docs), constant)
+    told = verified.groupBy("doc_id", "th").agg(F.collect_set("label").alias("more"), F.max("cover").alias("cover"), F.sort_array(F.collect_set(F.struct("start", "stop", "label"))).alias("spans"))
+    told = written(told.withColumnsRenamed({"doc_id": "of_id", "th": "of_th"}), "licenses")
+    few = told.count() <= BROADCAST_ROWS
+    found = counted(docs)
+    out = found.join(F.broadcast(told) if few else told, found["doc_id"].eqNullSafe(told["of_id"]) & (found["th"] == told["of_th"]), "left")
     labels = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
     return out.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"),
