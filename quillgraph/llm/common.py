@@ -73,7 +73,7 @@ def crc_rest(column: str, modulus: int):
 
 
 #: Rows of a batch that are Python objects at one time.
-SLICE_ROWS = 512
+SLICE_ROWS = 256
 
 
 def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
