@@ -168,7 +168,7 @@ NOISE = (
     r"(?i)This\s+article\s+was\s+download\w*[^.]*\.?",
     r"(?i)Article\s+in\s+press",
     r"(?i)Proc\.\s*Natl\.\s*Acad\.\s*Sci\.\s*USA\s*Vol\.\s*\d+,?\s*pp\.\s*\d+[-–]\d+,?\s*(?:January|February|March|April|May|June|July|August|September|October|November|December)?\s*\d{0,4}",
-    r"(?i)^(?:The\s+)?(?:Journal\s+of\s+\w[\w\s,]+|Psychological\s+(?:Review|Bulletin|Science)|Neuroscience|Cogniti\w+\s+Psychology|Annual\s+Review\s+of\s+\w+)[\s,]*\d{4}(?-i:[^A-Z]*)",
+    r"(?i)^(?:The\s+)?(?:Journal\s+of\s+\w[\w\s,]+|Psychological\s+(?:Review|Bulletin|Science)|Neuroscience|Cogniti\w+\s+Psychology|Annual\s+Review\s+of\s+\w+)[\s,]*\d{4}[^A-Za-z]*",
     r"\b[A-Z]{4,}\b\s*",
     r"(?i)(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s*\d{4}",
 )

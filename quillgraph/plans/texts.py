@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
 from quillgraph.functions.vectors import dot
-from quillgraph.plans.model import Model
+from quillgraph.plans.model import QUESTION, Model
 from quillgraph.plans.registration import registrar
 
 QUERIES, ORACLES, query = registrar()
@@ -85,11 +85,26 @@ def repaired_texts(m: Model) -> DataFrame:
     return m.table("documents").select("doc_id", md5(T.repaired(F.col("text"))).alias("digest"))
 
 
-@query()
+_NOISY = "case when ordinal % 2 = 0 then 'Cognition 91(2019)1437-1460 Available online at www.example.org ' else 'Neuroscience 1974 we show that ' end || regexp_replace(title, '[^ -~]', '', 'g') || ' © 2019 Elsevier B.V. All. ' || regexp_replace(abstract, '[^ -~\\n]', '', 'g')"
+
+
+def _without(patterns, column: str) -> str:
+    for p in patterns:
+        column = f"regexp_replace({column}, {_quote(p)}, '', 'g')"
+    return column
+
+
+_QUIET = f"trim(regexp_replace({_without(T.NOISE, _nested(T.LIGATURES, 'noisy'))}, '\\s{{2,}}', ' ', 'g'))"
+
+
+@query(f"select paper_id, length({_QUIET}) as n, md5({_QUIET}) as digest from (select paper_id, {_NOISY} as noisy from papers)", "papers")
 def noise_removed(m: Model) -> DataFrame:
     """STR-T08"""
-    noisy = F.concat(F.lit("Cognition 91(2019)1437-1460 Available online at www.example.org "), "title", F.lit(" © 2019 Elsevier B.V. All. "), "abstract")
-    return m.papers.select("paper_id", md5(T.without_noise(noisy)).alias("digest"))
+    head = F.when(F.pmod("ordinal", F.lit(2)) == 0, "Cognition 91(2019)1437-1460 Available online at www.example.org ").otherwise("Neuroscience 1974 we show that ")
+    # Word boundaries beside letters beyond ASCII differ between engines: titles and abstracts go in as ASCII.
+    title, abstract = F.regexp_replace("title", "[^ -~]", ""), F.regexp_replace("abstract", r"[^ -~\n]", "")
+    quiet = T.without_noise(F.concat(head, title, F.lit(" © 2019 Elsevier B.V. All. "), abstract))
+    return m.papers.select("paper_id", F.length(quiet).cast("long").alias("n"), md5(quiet).alias("digest"))
 
 
 @query("select conv_id, turn, case when regexp_matches(text, '(?i)\\b(?:gap|missing|lack|future|open\\s+question|unresolved|unclear|unknown|unexplored|understudied|not\\s+yet|limited)\\b') then 3.0 else 1.0 end::double as gap, case when regexp_matches(text, '(?i)\\b(?:conflict|disagree|debate|tension|contradict|competing|controversial|challenge|opposing|different\\s+view|vs\\.?\\s|versus|dispute)\\b') then 3.0 else 1.0 end::double as tension from (select conv_id, turn, text || case when turn % 2 = 0 then ' future debate' else '' end as text from conversations)")
@@ -160,19 +175,28 @@ def short_authors(m: Model) -> DataFrame:
     return m.papers.select("paper_id", T.short_author(F.col("authors")).alias("author"))
 
 
-@query("select doc_id, len(list_filter(regexp_extract_all(text, '[^.!?]*[.!?]+(\\s+|$)'), lambda s: s <> '')) >= 0 as split from documents")
+_SENTENCES = "list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')"
+
+
+@query(f"select doc_id, len(s) as n, md5(array_to_string(s, '|')) as digest from (select doc_id, {_SENTENCES} as s from documents)")
 def sentence_split(m: Model) -> DataFrame:
-    """STR-T11: sentences are found in every text"""
-    return m.table("documents").select("doc_id", (F.size(T.sentences(F.col("text"))) >= 0).alias("split"))
+    """STR-T11: the sentences of every text"""
+    s = T.sentences(F.col("text"))
+    return m.table("documents").select("doc_id", F.size(s).cast("long").alias("n"), md5(F.array_join(s, "|")).alias("digest"))
 
 
-@query()
+_TERMS = [w for w in QUESTION.split() if w not in T.STOP_WORDS]
+
+
+@query(
+    f"""cut as (select doc_id, unnest(s) as sentence, generate_subscripts(s, 1) as i from (select doc_id, {_SENTENCES} as s from documents)),
+    shares as (select *, len(list_intersect(list_distinct(regexp_split_to_array(lower(sentence), '[^a-z0-9]+')), {_TERMS})) / {float(len(_TERMS))} as share from cut),
+    best as (select * from shares qualify row_number() over (partition by doc_id order by share desc, i) = 1)
+    select doc_id, case when share > 0.08 then sentence end as sentence from documents left join best using (doc_id)"""
+)
 def relevant_sentences(m: Model) -> DataFrame:
     """STR-T12: the sentence of each document that holds most of the question's words"""
-    from quillgraph.plans.model import QUESTION
-
-    terms = [w for w in QUESTION.split() if w not in T.STOP_WORDS]
-    return m.table("documents").select("doc_id", T.relevant_sentence(F.col("text"), terms).alias("sentence"))
+    return m.table("documents").select("doc_id", T.relevant_sentence(F.col("text"), _TERMS).alias("sentence"))
 
 
 @query(
@@ -201,8 +225,15 @@ def page_links(m: Model) -> DataFrame:
     return m.table("pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).cast("long").alias("links"), title.alias("title"))
 
 
-@query("select doc_id, case when strpos(lower(text), 'abstract') > 0 then 'marked' else md5(substr(" + _CLEAN + ", 1, 500)) end as abstract from documents")
+_MARKED = "case when doc_id % 2 = 0 then 'A title' || chr(10) || 'Abstract: ' || text || chr(10) || 'Keywords: one, two' else text end"
+_CLEANED = lambda column: _CLEAN.replace("text", column)
+
+
+@query(
+    f"""marked as (select doc_id, {_MARKED} as t, regexp_extract({_MARKED}, '(?is)abstract[:\\s]+(.*?)\\n\\s*(?:introduction|keywords|1[.\\s]|background)', 1) as found from documents)
+    select doc_id, md5(case when found <> '' then substr({_CLEANED('found')}, 1, 1200) else substr({_CLEANED('t')}, 1, 500) end) as abstract from marked"""
+)
 def abstracts(m: Model) -> DataFrame:
-    """STR-T04: what a text says before its first section; these texts mark none, so their beginnings"""
-    marked = F.contains(F.lower("text"), F.lit("abstract"))
-    return m.table("documents").select("doc_id", F.when(marked, "marked").otherwise(md5(T.abstract_of(F.col("text")))).alias("abstract"))
+    """STR-T04: what a text says between the word abstract and its next section, or its beginning; half of the texts are marked"""
+    marked = F.when(F.pmod("doc_id", F.lit(2)) == 0, F.concat(F.lit("A title\nAbstract: "), "text", F.lit("\nKeywords: one, two"))).otherwise(F.col("text"))
+    return m.table("documents").select("doc_id", marked.alias("t")).select("doc_id", md5(T.abstract_of(F.col("t"))).alias("abstract"))
