@@ -146,11 +146,12 @@ def causal_orientation(m: Model) -> DataFrame:
     return causal.oriented(m.combined_edges, m.corpus, m.citation_edges).select("src", "dst", r6("confidence"))
 
 
-@query("select a.src, a.dst from causal a join causal b on a.src = b.dst and a.dst = b.src where a.src < a.dst", "causal")
+@query("select least(src, dst) as src, greatest(src, dst) as dst from causal group by all having count(distinct src) = 2", "causal")
 def opposed_orientations(m: Model) -> DataFrame:
     """GRF-08, ITR-07: two-cycles of the orientation, which cycle breaking has to turn"""
     c = causal.oriented(m.combined_edges, m.corpus, m.citation_edges).select("src", "dst")
-    return c.join(c.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"]).where("src < dst")
+    pairs = c.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.min("src").alias("low"), F.max("src").alias("high"))
+    return pairs.where("low <> high").select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
 @query()
