@@ -18,27 +18,32 @@ SEED = 12345
 MAX_RATED = 20_000
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, steps: int = 200, rate: float = 0.5, penalty: float = 0.1, floor: float = 0.05) -> np.ndarray:
-    """Logistic regression without intercept by plain gradient steps from ones; floored, scaled to the default budget."""
-    w = np.ones(x.shape[1])
+def fit_weights(x: np.ndarray, y: np.ndarray, counts: np.ndarray | None = None, steps: int = 200, rate: float = 0.5, penalty: float = 0.1, floor: float = 0.05) -> np.ndarray:
+    """Logistic regressions without intercept by plain gradient steps from ones; floored, scaled to the default budget.
+
+    ``counts`` has a row for each fit: how often each rating counts in it. Without it there is one fit, of all ratings once.
+    """
+    times = np.ones((1, len(y))) if counts is None else counts
+    share = times / times.sum(1, keepdims=True)
+    w = np.ones((len(times), x.shape[1]))
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -20, 20)))
-        w = w - rate * (x.T @ (p - y) / len(y) + penalty * w)
+        miss = 1 / (1 + np.exp(-np.clip(w @ x.T, -20, 20))) - y
+        w -= rate * ((share * miss) @ x + penalty * w)
     w = np.maximum(w, floor)
-    return w * (sum(SIGNAL_WEIGHTS[: len(w)]) / w.sum())
+    w *= sum(SIGNAL_WEIGHTS[: x.shape[1]]) / w.sum(1, keepdims=True)
+    return w if counts is not None else w[0]
 
 
 def ensemble(x: np.ndarray, y: np.ndarray, members: int = ENSEMBLE, seed: int = SEED) -> np.ndarray | None:
-    """Weights of stratified bootstrap samples, positives drawn before negatives; none for too few ratings."""
-    good, bad = np.flatnonzero(y >= 0.5), np.flatnonzero(y < 0.5)
-    if len(y) < ENSEMBLE_RATINGS or len(good) < 2 or len(bad) < 2:
+    """Weights of stratified bootstrap samples, as multinomial counts within the liked and the other papers; none for too few."""
+    strata = [s for s in (y >= 0.5, y < 0.5) if s.sum() >= 2]
+    if len(y) < ENSEMBLE_RATINGS or len(strata) < 2:
         return None
-    draw = np.random.RandomState(seed)
-    out = []
-    for _ in range(members):
-        take = np.concatenate([draw.choice(part, len(part), replace=True) for part in (good, bad)])
-        out.append(fit_weights(x[take], y[take]))
-    return np.vstack(out)
+    rng = np.random.default_rng(seed)
+    counts = np.zeros((members, len(y)))
+    for s in strata:
+        counts[:, s] = rng.multinomial(s.sum(), np.full(s.sum(), 1 / s.sum()), size=members)
+    return fit_weights(x, y, counts)
 
 
 def rated_matrix(signals: DataFrame, ratings: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
