@@ -12,10 +12,12 @@ _OWN: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where that is unset."""
+    """The folder that ``spark.checkpoint.dir`` names; where that is unset, a temporary one, in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
     if not _OWN:
         own = tempfile.TemporaryDirectory(prefix="quillgraph-")
         atexit.register(own.cleanup)

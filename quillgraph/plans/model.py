@@ -9,6 +9,7 @@ supplier the source that told it.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -32,16 +33,39 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Layers that several queries read, by application, table version and name: written once, by the first query that asks.
+_SHARED: dict[tuple, DataFrame] = {}
+
+
 @dataclass
 class Model:
     spark: SparkSession
     sf_dir: str
 
+    @cached_property
+    def version(self) -> tuple:
+        """Sizes and times of the tables that the layers are made from: a changed table makes new layers."""
+        paths = [self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/{name}.parquet") for name in ("documents", "embeddings", "lineitem")]
+        found = [(p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p) for p in paths]
+        return tuple((fs.getContentSummary(p).getLength(), fs.getFileStatus(p).getModificationTime()) for fs, p in found)
+
+    def shared(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A layer as a written table, made once for each application and version of the tables."""
+        from quillgraph.functions.store import settled
+
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.version, name)
+        if key not in _SHARED:
+            _SHARED[key] = settled(make(), name)
+        return _SHARED[key]
+
     def table(self, name: str) -> DataFrame:
         return read(self.spark, self.sf_dir, name)
 
     @cached_property
     def papers(self) -> DataFrame:
+        return self.shared("papers", self._papers)
+
+    def _papers(self) -> DataFrame:
         docs = self.table("documents").select("doc_id", "text")
         v = F.col("vec_id")
         number = v.cast("string")
@@ -95,6 +119,9 @@ class Model:
     def clusters(self) -> DataFrame:
         """(level, cluster_id, size, weight, high, centroid): centroids are unit means."""
         members = self.membership.join(self.corpus.select("paper_id", "embedding", "weight", "user_rating"), "paper_id").withColumn("one", F.lit(1.0))
+        return self.shared("clusters", lambda: self._clusters(members))
+
+    def _clusters(self, members: DataFrame) -> DataFrame:
         sums = members.groupBy("level", "cluster_id").agg(F.count("*").alias("size"), F.sum("weight").alias("weight"), F.sum((F.col("user_rating") >= 6).cast("int")).alias("high"))
         centroids = mean_pool(members, "embedding", "one", ["level", "cluster_id"]).withColumnRenamed("pooled", "centroid")
         return sums.join(centroids, ["level", "cluster_id"])
@@ -116,6 +143,9 @@ class Model:
     @cached_property
     def refs(self) -> DataFrame:
         """(paper_id, source, ref_id), distinct."""
+        return self.shared("refs", self._refs)
+
+    def _refs(self) -> DataFrame:
         n = self.table("embeddings").agg(F.count("*").alias("n"))
         lines = self.table("lineitem").select("l_orderkey", "l_partkey", F.pmod("l_suppkey", F.lit(3)).alias("s")).crossJoin(F.broadcast(n))
         part = F.col("l_partkey").cast("string")
@@ -131,7 +161,7 @@ class Model:
         papers = self.corpus.where("weight > 0").select("weight", "embedding")
         share = F.when(F.col("level") == 1, 0.5).otherwise(0.25)
         clusters = self.clusters.where("weight > 0").select((F.col("weight") * share).alias("weight"), F.col("centroid").alias("embedding"))
-        return mean_pool(papers.unionByName(clusters), "embedding", "weight").withColumnRenamed("pooled", "context")
+        return self.shared("context", lambda: mean_pool(papers.unionByName(clusters), "embedding", "weight").withColumnRenamed("pooled", "context"))
 
     @cached_property
     def question(self) -> DataFrame:
@@ -143,14 +173,17 @@ class Model:
         """(src, dst, weight), both directions, of corpus papers at least SEMANTIC alike."""
         from quillgraph.operators.similarity import similar_pairs
 
-        pairs = similar_pairs(self.corpus.select(F.col("paper_id").alias("id"), "embedding"), SEMANTIC)
-        return pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight"))
+        def make() -> DataFrame:
+            pairs = similar_pairs(self.corpus.select(F.col("paper_id").alias("id"), "embedding"), SEMANTIC)
+            return pairs.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), "weight"), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), "weight"))).alias("e")).select("e.*")
+
+        return self.shared("semantic-edges", make)
 
     @cached_property
     def citation_edges(self) -> DataFrame:
         from quillgraph.operators.citations import citation_graph
 
-        return citation_graph(self.corpus, self.refs)
+        return self.shared("citation-edges", lambda: citation_graph(self.corpus, self.refs))
 
     @cached_property
     def combined_edges(self) -> DataFrame:
