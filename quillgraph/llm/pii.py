@@ -65,6 +65,7 @@ _CONTEXT = {
 }
 _AGAINST = re.compile(r"isbn|issn|doi|order|version|ticket|sha|hash|token|key|serial|revision|build|\bv$|§|no\.? ?$", re.I)
 WINDOW = 40
+LABELERS = 7
 
 
 def luhn(digits: str) -> bool:
@@ -115,7 +116,7 @@ def base_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, i
 
 
 def _votes(kind: str, text: str, start: int, end: int, is_base: bool) -> str:
-    """The labelers' votes and the shape features of one candidate: a short string over + - 0 and small digits."""
+    """The LABELERS' votes of one candidate over + - 0, then its shape: its length and its different characters, as a digit each."""
     got = text[start:end]
     before, after = text[max(0, start - WINDOW) : start], text[end : end + 12]
     joined = (before[-1:].isalnum() or before[-1:] in '"=/_') or (after[:1].isalnum() or after[:1] in '"=/_')
@@ -148,7 +149,8 @@ def _votes(kind: str, text: str, start: int, end: int, is_base: bool) -> str:
     against = "-" if _AGAINST.search(before[-14:]) else "0"
     apart = "-" if joined else "+"
     repeated = "-" if digits and len(set(digits)) == 1 else "0"
-    return regex + form + gaz + for_it + against + apart + repeated
+    shape = f"{min(9, (end - start) // 4)}{min(9, len(set(got)) // 2)}"
+    return regex + form + gaz + for_it + against + apart + repeated + shape
 
 
 def candidates(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, str]]]:
@@ -169,14 +171,32 @@ def candidates(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, i
 
 @dataclass
 class Model:
-    """Accepted vote patterns: (kind, pattern) -> probability that such a span is personal data."""
+    """The span classifier: weights of ``_span_features``; without any, no candidate is accepted."""
 
-    probability: dict[tuple[str, str], float] = field(default_factory=dict)
+    weights: np.ndarray | None = None
     reliability: dict[str, np.ndarray] = field(default_factory=dict)
     threshold: float = 0.5
+    probability: dict[tuple[str, str], float] = field(default_factory=dict)  # of the patterns that were asked for
 
-    def accepts(self, kind: str, votes: str) -> bool:
-        return self.probability.get((kind, votes), 0.0) >= self.threshold
+    def accepts(self, kind: str, pattern: str) -> bool:
+        if self.weights is None:
+            return False
+        if (kind, pattern) not in self.probability:
+            self.probability[kind, pattern] = float(1 / (1 + np.exp(-np.clip(_span_features(kind, pattern) @ self.weights, -30, 30))))
+        return self.probability[kind, pattern] >= self.threshold
+
+
+def _span_features(kind: str, pattern: str) -> np.ndarray:
+    """Kind, every labeler's vote, and the shape against its kind."""
+    kinds = KINDS + MORE_KINDS
+    x = np.zeros(len(kinds) * 3 + 3 * LABELERS)
+    k = kinds.index(kind)
+    x[k] = 1
+    for i, c in enumerate(pattern[:LABELERS]):
+        x[len(kinds) + 3 * i + _VALUE[c]] = 1
+    shape = [int(c) / 9 for c in pattern[LABELERS:]]
+    x[len(kinds) + 3 * LABELERS + 2 * k :][: len(shape)] = shape
+    return x
 
 
 _VALUE = {"+": 0, "-": 1, "0": 2}
@@ -218,26 +238,23 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 40
 
 
 def fit_counts(rows: list[tuple[str, str, int]]) -> Model:
-    """EM by kind over counted patterns, then one span classifier over all kinds."""
+    """EM by kind over the counted votes, then one span classifier over all kinds, votes and shapes."""
     model = Model()
     if not rows:
         return model
-    xs, ys, ws, keys = [], [], [], []
-    kinds = KINDS + MORE_KINDS
+    xs, ys, ws = [], [], []
     for kind in sorted({r[0] for r in rows}, key=ORDER.get):
         own = sorted((p, n) for k, p, n in rows if k == kind)
-        patterns, counts = [p for p, _ in own], np.array([n for _, n in own], float)
-        posterior, model.reliability[kind] = expectation_maximisation(patterns, counts)
-        for p, n, q in zip(patterns, counts, posterior, strict=True):
-            x = np.zeros(len(kinds) + 3 * len(p))
-            x[kinds.index(kind)] = 1
-            for i, c in enumerate(p):
-                x[len(kinds) + 3 * i + _VALUE[c]] = 1
-            xs.append(x), ys.append(q), ws.append(n), keys.append((kind, p))
-    x, y, w = np.array(xs), np.array(ys), np.array(ws)
-    b = _logistic(x, y, w / w.sum() * min(w.sum(), 1e5))
-    scores = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-    model.probability = {k: float(s) for k, s in zip(keys, scores, strict=True)}
+        counts: Counter = Counter()
+        for p, n in own:
+            counts[p[:LABELERS]] += n
+        votes = sorted(counts)
+        posterior, model.reliability[kind] = expectation_maximisation(votes, np.array([counts[v] for v in votes], float))
+        of = dict(zip(votes, posterior.tolist(), strict=True))
+        for p, n in own:
+            xs.append(_span_features(kind, p)), ys.append(of[p[:LABELERS]]), ws.append(n)
+    w = np.array(ws, float)
+    model.weights = _logistic(np.array(xs), np.array(ys), w / w.sum() * min(w.sum(), 1e5))
     return model
 
 

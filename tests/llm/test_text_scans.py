@@ -59,6 +59,33 @@ def test_pii_method_tells_good_votes_from_bad():
     assert model.reliability["card"][1, 1, 0] > model.reliability["card"][0, 1, 0]
 
 
+def test_pii_classifies_patterns_that_it_has_not_seen():
+    model = pii.fit_counts([("card", "+++00+055", 200), ("card", "0--00-052", 150), ("phone", "0+++0+044", 20)])
+    assert model.accepts("card", "+++00+056") and not model.accepts("card", "0--0--052") and not pii.Model().accepts("card", "+++00+055")
+
+
+def test_pii_estimation_against_plain_loops():
+    import math
+
+    import numpy as np
+
+    patterns, counts, labelers = ["+++", "++0", "0--", "-0-", "+-0"], [50, 30, 40, 20, 5], range(3)
+    post = [1 / (1 + math.exp(-(p.count("+") - 1.5 * p.count("-") - 1))) for p in patterns]
+    for _ in range(60):
+        table = {}
+        for side in (0, 1):
+            weight = [(q if side else 1 - q) * n for q, n in zip(post, counts, strict=True)]
+            for i in labelers:
+                sums = {v: sum(w for p, w in zip(patterns, weight, strict=True) if p[i] == v) + (2.0 if v == "0" or v == "-+"[side] else 1.0) for v in "+-0"}
+                for v in "+-0":
+                    table[side, i, v] = sums[v] / sum(sums.values())
+        prior = (sum(q * n for q, n in zip(post, counts, strict=True)) + 1) / (sum(counts) + 2)
+        odds = [math.prod([table[0, i, p[i]] for i in labelers]) * (1 - prior) / (math.prod([table[1, i, p[i]] for i in labelers]) * prior) for p in patterns]
+        post = [1 / (1 + x) for x in odds]
+    got, rates = pii.expectation_maximisation(patterns, np.array(counts, float))
+    assert np.allclose(got, post, atol=1e-4) and abs(rates[1, 0, 0] - table[1, 0, "+"]) < 1e-4
+
+
 def test_pii_redaction_leaves_the_rest(spark):
     row = pii.redacted(documents(spark)).where("doc_id = 20").first()
     assert row.text == "mail [EMAIL], ip [IP] and 300.1.1.1, card [CARD], tel [PHONE]." and row.n_chars == len(row.text)
