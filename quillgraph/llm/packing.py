@@ -83,7 +83,14 @@ def tokens_of(path: str, pattern: str) -> Callable[[str], int]:
     """A measure: tokens of the vocabulary at ``path``, which the driver reads and sends along."""
     with open(path, "rb") as f:
         data = f.read()
-    return lambda text: len(Vocabulary.of(data, pattern).encoding.encode_ordinary(text))
+    made: list[Vocabulary] = []  # a task's own copy of this closure looks its worker's vocabulary up once
+
+    def tokens(text: str) -> int:
+        if not made:
+            made.append(Vocabulary.of(data, pattern))
+        return len(made[0].encoding.encode_ordinary(text))
+
+    return tokens
 
 
 def measured(docs: DataFrame, measure: Callable[[str], int]) -> DataFrame:
