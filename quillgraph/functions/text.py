@@ -193,6 +193,63 @@ def without_noise(text: Column) -> Column:
     return F.trim(F.regexp_replace(stripped, r"\s{2,}", " "))
 
 
+def _held(value: Column, use) -> Column:
+    """``use(value)``, the value worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+_MONTHS = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
+# What the line of a journal or publisher, taken for a title, looks like; (?i) where letter case does not matter.
+HEADER_LINES = (
+    r"^\s*$",
+    r"^\s*[A-Za-z][\w\s,]+\d{1,4}\s*\(\d{4}\)",
+    _MONTHS + r"\s+\d{1,2},?\s*\d{4}",
+    r"^\s*\d{4}[-~/]\d{3}[\dxX]",
+    r"\$\d+\.\d{2}",
+    r"(?i)\bVol\.\s*\d+|\bProc\.\s*Natl",
+    r"(?i)^\s*(?:Psychological|Cognitive|Journal|Annual)\s+\w+\s+\d{4}",
+)
+
+
+def is_header(title: Column) -> Column:
+    """Whether a title is rather a line of the journal, or blank."""
+    return reduce(lambda a, b: a | b, [title.rlike(p) for p in HEADER_LINES])
+
+
+FIRST_CHUNK = r"^(.{15,180}?)(?:\.\s|$)"
+
+
+def _first_chunk(abstract: Column, quiet: Column) -> Column:
+    chunk = F.regexp_extract(quiet, FIRST_CHUNK, 1)
+    found = F.when(chunk != "", F.trim(chunk)).otherwise(F.trim(F.substring(quiet, 1, 150)))
+    return F.when((F.length(abstract) < 30) | (F.length(quiet) < 15), "").otherwise(found)
+
+
+def recovered_title(abstract: Column) -> Column:
+    """What may be the title in an abstract with journal noise: its first chunk without the noise; empty if it is short."""
+    return _held(without_noise(abstract), lambda quiet: _first_chunk(abstract, quiet))
+
+
+def query_variants(title: Column, abstract: Column) -> Column:
+    """Texts to look a paper up by, the best first, of equal beginnings (50 characters, in either case) the first."""
+    title, abstract = F.coalesce(title, F.lit("")), F.coalesce(abstract, F.lit(""))
+    parts = F.array(abstract, F.substring(abstract, 81, 300), F.substring(abstract, 121, 300), title)
+
+    def variants(quiet: Column) -> Column:
+        garbled, long = is_header(title), F.length(abstract)
+        found = _first_chunk(abstract, quiet[0])
+        return F.array(
+            *[F.when((long > least) & (F.length(quiet[i]) > 40), F.substring(quiet[i], 1, 250)) for i, least in enumerate((40, 120, 200))],
+            F.when(garbled & (F.length(found) > 15), F.substring(found, 1, 200)),
+            F.when(~garbled & (F.length(title) > 15) & (F.length(quiet[3]) > 15), F.substring(quiet[3], 1, 200)),
+            F.when(F.length(title) > 20, F.substring(title, 1, 200)),
+        )
+
+    beginning = lambda v: F.lower(F.trim(F.substring(v, 1, 50)))
+    all_ = _held(F.transform(parts, without_noise), lambda quiet: F.array_compact(variants(quiet)))
+    return _held(all_, lambda vs: _held(F.transform(vs, beginning), lambda keys: F.filter(vs, lambda v, i: F.array_position(keys, beginning(v)) == i + 1)))
+
+
 def intent_boosts(query: Column) -> Column:
     """Map of argument kind to 3.0 where the query asks for it, else 1.0."""
     return F.create_map(*[x for kind, p in INTENTS.items() for x in (F.lit(kind), F.when(query.rlike(p), 3.0).otherwise(1.0))])
@@ -208,6 +265,30 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: s != "")
 
 
+# What marks a sentence as the journal's or the publisher's.
+METADATA_MARKERS = (
+    "sciencedirect", "elsevier", "homepage", "doi.org", "doi:", "issn", "copyright", "downloaded", "contents list", "journal homepage", "available online", "article in press",
+    "printed in u.s.a", "email:", "[your email]", "correspondence concerning", "author note", "rspa.royalsociety", "citethisarticle",
+)
+
+
+def readable(sentence: Column, least: int = 5) -> Column:
+    """Whether a sentence is prose: long enough, mostly letters, without publishers' phrases and words run together."""
+    low = F.lower(sentence)
+    letters = F.length(F.regexp_replace(sentence, r"[^\p{L}]", ""))
+    joined = lambda w: (F.length(w) > 12) & F.substring(w, 2, 1_000_000).rlike(r"\p{Lu}")
+    blob = lambda w: (F.length(w) > 15) & (F.lower(w) == w) & w.rlike(r"\p{L}")
+    listed = lambda w: (F.length(w) > 10) & F.contains(w, F.lit(","))
+    marked = reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in METADATA_MARKERS])
+
+    def prose(words: Column) -> Column:
+        n = F.size(words)
+        return (n >= least) & (F.size(F.filter(words, joined)) <= F.greatest(F.lit(1.0), n * 0.25)) & ~F.exists(words, lambda w: blob(w) | listed(w))
+
+    words = F.filter(F.split(sentence, r"\s+"), lambda w: w != "")
+    return F.coalesce((F.length(sentence) >= 20) & (letters / F.nullif(F.length(sentence), F.lit(0)) >= 0.55) & ~marked & _held(words, prose), F.lit(False))
+
+
 def relevant_sentence(text: Column, terms: list[str], least: float = 0.08) -> Column:
     """The sentence that holds the largest share of the terms, the first of equals; null under ``least``."""
     words = lambda s: F.array_distinct(F.split(F.lower(s), r"[^a-z0-9]+"))

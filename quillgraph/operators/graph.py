@@ -199,6 +199,32 @@ def topology(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+#: Nodes of a largest component whose paths are measured; all pairs of them are found.
+PATH_NODES = 2_000
+
+
+def largest_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: size of the largest component (of equal ones, that of the smallest id), mean and longest shortest path in it.
+
+    Edges count both ways and without weights. Both are 0 for a single node, and null above PATH_NODES nodes, as the
+    pairs are the square of the nodes.
+    """
+    labels = settled(components(nodes, edges), "labels")
+    top = settled(labels.groupBy("component").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "component").limit(1), "largest")
+    size = sum(r[0] for r in top.select("size").collect())
+    if not 1 < size <= PATH_NODES:
+        lengths = F.lit(0.0 if size == 1 else None).cast("double")
+        return top.select(F.col("size").alias("nodes"), lengths.alias("mean_path"), lengths.alias("diameter"))
+    inside = labels.join(F.broadcast(top), "component").select("id")
+    arcs = settled(both_ways(undirected(induced(edges, inside))).select("src", "dst"), "arcs")
+    seen = frontier = settled(inside.select(F.col("id").alias("source"), "id").withColumn("hops", F.lit(0)), "seen")
+    while frontier.limit(1).count():
+        step = frontier.join(arcs, frontier.id == arcs.src).select("source", F.col("dst").alias("id"), F.col("hops") + 1).distinct().toDF("source", "id", "hops")
+        frontier = settled(step.join(seen, ["source", "id"], "left_anti"), "frontier")
+        seen = settled(seen.unionByName(frontier), "seen")
+    return seen.agg(F.lit(size).cast("long").alias("nodes"), (F.sum("hops") / (float(size) * (size - 1))).alias("mean_path"), F.max("hops").cast("double").alias("diameter"))
+
+
 def modularity(nodes: DataFrame, edges: DataFrame, communities: DataFrame) -> DataFrame:
     """One row: weighted modularity of a given partition (id, community) over undirected edges."""
     pairs = undirected(edges)

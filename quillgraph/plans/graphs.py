@@ -192,6 +192,22 @@ def topology(m: Model) -> DataFrame:
     return t.select("nodes", "edges", F.round("density", 8).alias("density"), r6("avg_degree"), r6("clustering"), r6("transitivity"), r6("centralisation"), "components", r6("largest_fraction"))
 
 
+@query(
+    """arcs as (select src, dst from semantic_edges where src <> dst union select dst, src from semantic_edges where src <> dst),
+    reach as (select paper_id as id, paper_id as r from corpus union select reach.id, a.dst from reach join arcs a on a.src = reach.r),
+    top as (select c, count(*) as n from (select id, min(r) as c from reach group by id) group by c order by n desc, c limit 1),
+    inside as (select r as id, n from reach join top on reach.id = top.c),
+    walks as (select id as source, id, 0 as hops, n from inside union select source, a.dst, hops + 1, n from walks join arcs a on a.src = walks.id where hops < 12),
+    short as (select source, id, min(hops) as hops, any_value(n) as n from walks group by source, id)
+    select any_value(n) as nodes, case when any_value(n) <= 2000 then round(case when any_value(n) = 1 then 0 else sum(hops) / (any_value(n)::double * (any_value(n) - 1)) end, 8) end as mean_path, case when any_value(n) <= 2000 then max(hops)::double end as diameter from short""",
+    "corpus", "semantic_edges",
+)
+def largest_component_paths(m: Model) -> DataFrame:
+    """AGG-19: mean shortest path and diameter of the largest component (the SQL walks up to 12 hops, more than its diameter)"""
+    t = G.largest_paths(m.corpus.select(F.col("paper_id").alias("id")), m.semantic_edges)
+    return t.select("nodes", F.round("mean_path", 8).alias("mean_path"), "diameter")
+
+
 @query(
     """pairs as (select least(src, dst) as a, greatest(src, dst) as b, max(weight) as w from semantic_edges group by all),
     total as (select sum(w) as m from pairs), ends as (select p.*, x.niche as ca, y.niche as cb from pairs p join corpus x on x.paper_id = a join corpus y on y.paper_id = b)

@@ -97,16 +97,43 @@ def _without(patterns, column: str) -> str:
 _QUIET = f"trim(regexp_replace({_without(T.NOISE, _nested(T.LIGATURES, 'noisy'))}, '\\s{{2,}}', ' ', 'g'))"
 
 
-@query(f"select paper_id, length({_QUIET}) as n, md5({_QUIET}) as digest from (select paper_id, {_NOISY} as noisy from papers)", "papers")
-def noise_removed(m: Model) -> DataFrame:
-    """STR-T08"""
+def _noisy():
     head = F.when(F.pmod("ordinal", F.lit(2)) == 0, "Cognition 91(2019)1437-1460 Available online at www.example.org ").otherwise("Neuroscience 1974 we show that ")
     # Word boundaries beside letters beyond ASCII differ between engines: titles and abstracts go in as ASCII.
     title, abstract = F.regexp_replace("title", "[^ -~]", ""), F.regexp_replace("abstract", r"[^ -~\n]", "")
-    quiet = T.without_noise(F.concat(head, title, F.lit(" © 2019 Elsevier B.V. All. "), abstract))
+    return F.concat(head, title, F.lit(" © 2019 Elsevier B.V. All. "), abstract)
+
+
+@query(f"select paper_id, length({_QUIET}) as n, md5({_QUIET}) as digest from (select paper_id, {_NOISY} as noisy from papers)", "papers")
+def noise_removed(m: Model) -> DataFrame:
+    """STR-T08"""
+    quiet = T.without_noise(_noisy())
     return m.papers.select("paper_id", F.length(quiet).cast("long").alias("n"), md5(quiet).alias("digest"))
 
 
+_quiet = lambda column: f"trim(regexp_replace({_without(T.NOISE, _nested(T.LIGATURES, column))}, '\\s{{2,}}', ' ', 'g'))"
+_GARBLED = "(" + " or ".join(f"regexp_matches(t, {_quote(p)})" for p in T.HEADER_LINES) + ")"
+_TITLES = ("", "Psychological Review 1974, ", "Cognition 91 (2019) ", "July 20, 2011 ")
+
+
+@query(
+    f"""given as (select paper_id, {list(_TITLES)}[ordinal % 4 + 1] || regexp_replace(title, '[^ -~]', '', 'g') as t, {_NOISY} as a from papers),
+    quiet as (select *, {_GARBLED} as garbled, {_quiet('a')} as q1, {_quiet('substr(a, 81, 300)')} as q2, {_quiet('substr(a, 121, 300)')} as q3, {_quiet('t')} as q4 from given),
+    found as (select *, case when length(a) < 30 or length(q1) < 15 then '' when regexp_extract(q1, {_quote(T.FIRST_CHUNK)}, 1) <> '' then trim(regexp_extract(q1, {_quote(T.FIRST_CHUNK)}, 1)) else trim(substr(q1, 1, 150)) end as f from quiet),
+    listed as (select paper_id, garbled, f, list_filter([case when length(a) > 40 and length(q1) > 40 then substr(q1, 1, 250) end, case when length(a) > 120 and length(q2) > 40 then substr(q2, 1, 250) end,
+      case when length(a) > 200 and length(q3) > 40 then substr(q3, 1, 250) end, case when garbled and length(f) > 15 then substr(f, 1, 200) end,
+      case when not garbled and length(t) > 15 and length(q4) > 15 then substr(q4, 1, 200) end, case when length(t) > 20 then substr(t, 1, 200) end], lambda v: v is not null) as v from found),
+    keyed as (select *, list_transform(v, lambda x: lower(trim(substr(x, 1, 50)))) as k from listed)
+    select paper_id, garbled, f as recovered, list_filter(v, lambda x, i: list_position(k, k[i]) = i) as variants from keyed""",
+    "papers",
+)
+def query_variants(m: Model) -> DataFrame:
+    """STR-T08: titles that are rather a journal's line, titles recovered from abstracts, and the texts to look papers up by"""
+    t = F.concat(F.element_at(F.array(*[F.lit(x) for x in _TITLES]), (F.pmod("ordinal", F.lit(4)) + 1).cast("int")), F.regexp_replace("title", "[^ -~]", ""))
+    given = m.papers.select("paper_id", t.alias("t"), _noisy().alias("a"))
+    return given.select("paper_id", T.is_header(F.col("t")).alias("garbled"), T.recovered_title(F.col("a")).alias("recovered"), T.query_variants(F.col("t"), F.col("a")).alias("variants"))
+
+
 @query("select conv_id, turn, case when regexp_matches(text, '(?i)\\b(?:gap|missing|lack|future|open\\s+question|unresolved|unclear|unknown|unexplored|understudied|not\\s+yet|limited)\\b') then 3.0 else 1.0 end::double as gap, case when regexp_matches(text, '(?i)\\b(?:conflict|disagree|debate|tension|contradict|competing|controversial|challenge|opposing|different\\s+view|vs\\.?\\s|versus|dispute)\\b') then 3.0 else 1.0 end::double as tension from (select conv_id, turn, text || case when turn % 2 = 0 then ' future debate' else '' end as text from conversations)")
 def query_intents(m: Model) -> DataFrame:
     """SIG-34"""
@@ -185,6 +212,24 @@ def sentence_split(m: Model) -> DataFrame:
     return m.table("documents").select("doc_id", F.size(s).cast("long").alias("n"), md5(F.array_join(s, "|")).alias("digest"))
 
 
+_MARKED_AS = " or ".join(f"contains(lower(x), {_quote(p)})" for p in T.METADATA_MARKERS)
+_PROSE = f"""length(x) >= 20 and length(regexp_replace(x, '[^\\p{{L}}]', '', 'g')) / length(x) >= 0.55::double and not ({_MARKED_AS}) and len(w) >= 5
+      and len(list_filter(w, lambda y: length(y) > 12 and regexp_matches(substr(y, 2), '\\p{{Lu}}'))) <= greatest(1.0, len(w) * 0.25)
+      and len(list_filter(w, lambda y: (length(y) > 15 and lower(y) = y and regexp_matches(y, '\\p{{L}}')) or (length(y) > 10 and contains(y, ',')))) = 0"""
+
+
+@query(
+    f"""cut as (select doc_id, unnest(s) as x, generate_subscripts(s, 1) as i from (select doc_id, {_SENTENCES} as s from documents)),
+    told as (select doc_id, i, x, list_filter(string_split_regex(x, '\\s+'), lambda y: y <> '') as w from cut),
+    kept as (select doc_id, list(x order by i) as s from told where {_PROSE} group by doc_id)
+    select doc_id, coalesce(len(s), 0) as n, md5(coalesce(array_to_string(s, '|'), '')) as digest from documents left join kept using (doc_id) where text is not null"""
+)
+def readable_sentences(m: Model) -> DataFrame:
+    """STR-T11: the sentences of every text that read as prose"""
+    s = F.filter(T.sentences(F.col("text")), lambda s: T.readable(s))
+    return m.table("documents").where("text is not null").select("doc_id", s.alias("s")).select("doc_id", F.size("s").cast("long").alias("n"), md5(F.array_join("s", "|")).alias("digest"))
+
+
 _TERMS = [w for w in QUESTION.split() if w not in T.STOP_WORDS]
 
 

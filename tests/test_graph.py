@@ -93,3 +93,10 @@ def test_capsule_checks_and_guarded_saving(spark, tmp_path):
     three = edges(spark, [("a", "b", 1), ("b", "c", 1), ("c", "d", 1)])
     assert exchange.save_guarded(three, where) and not exchange.save_guarded(three.limit(1), where)
     assert spark.read.parquet(f"{where}/current").count() == 3
+
+
+def test_paths_of_the_largest_component(spark):
+    e = edges(spark, [("a", "b", 1), ("c", "b", 1), ("c", "d", 1), ("x", "y", 1), ("d", "d", 1)])
+    assert tuple(G.largest_paths(nodes(spark, "abcdxyz"), e).first()) == (4, pytest.approx(10 / 6), 3.0)
+    assert tuple(G.largest_paths(nodes(spark, "ab"), edges(spark, [])).first()) == (1, 0.0, 0.0)
+    assert G.largest_paths(nodes(spark, ""), e.limit(0)).count() == 0

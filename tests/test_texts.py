@@ -28,3 +28,21 @@ def test_sentences_and_the_relevant_one(spark):
 @pytest.mark.parametrize("end", ["\nKeywords: a", "\n 1. First", "\nIntroduction here"])
 def test_abstract_between_its_word_and_the_next_section(spark, end):
     assert values(spark, T.abstract_of(F.col("t")), ["Title\nABSTRACT: What we\nfound." + end + "\nmore", "no mark " * 100]) == ["What we found.", ("no mark " * 100).strip()[:500]]
+
+
+def test_readable_sentences(spark):
+    texts = ["We show that drift models explain the data.", "Too short to be so.", "See www.x.org/homepage for the full list of papers.", "The departmentofpsychology has a study of memory here.",
+             "12 34 56 78 90 12 34 56 we see 77 88", "Memory,attention and recall are studied in this work.", "", None]
+    assert values(spark, T.readable(F.col("t")), texts) == [True, False, False, False, False, False, False, False]
+
+
+def test_headers_and_query_variants(spark):
+    titles = ["Psychological Review 1974, Vol. 81", "Cognition91(2019) 1437", "July 20, 2011 31(29)", "0270-6474/82", " ", "How memory drifts over time", "Paid $02.00"]
+    assert values(spark, T.is_header(F.col("t")), titles) == [True, True, True, True, True, False, True]
+    prose = "We show that memory drifts over time in all of our subjects. " + "It does so in every task. " * 12
+    got = values(spark, T.query_variants(F.lit("How memory drifts over time"), F.col("t")), [prose, "short", None])
+    assert got[0] == [prose.strip()[:250], prose[80:380].strip()[:250], prose[120:420].strip()[:250], "How memory drifts over time"]
+    assert got[1] == got[2] == ["How memory drifts over time"]
+    garbled = values(spark, T.query_variants(F.lit("Psychological Review 1974, a"), F.col("t")), [prose[:90]])[0]
+    assert garbled == [prose[:90].strip(), "Psychological Review 1974, a"]
+    assert values(spark, T.recovered_title(F.col("t")), [prose, "short"]) == ["We show that memory drifts over time in all of our subjects", ""]
