@@ -28,15 +28,25 @@ def namespace(source: Column, ref_id: Column) -> Column:
     )
 
 
+#: Papers of a reference that meet in one task, about; lists of more are cut into chunks.
+CHUNK_PAPERS = 1_000
+
+
 def coupling(refs: DataFrame) -> DataFrame:
     """(a, b, shared, weight), a < b, of papers that share references: an inverted-index join on the reference.
 
-    Sizes are counted once; the pair aggregation combines map-side before its shuffle.
+    Sizes are counted once; the pair aggregation combines map-side before its shuffle. The list of a reference that
+    many papers name is cut into chunks by a hash of the paper, and each pair of chunks is a key of its own, so that no
+    task makes all pairs of a hot reference.
     """
     distinct = refs.select("paper_id", "ref_id").distinct()
     sizes = distinct.groupBy("paper_id").agg(F.count("*").alias("n"))
-    a, b = distinct.select(F.col("paper_id").alias("a"), "ref_id"), distinct.select(F.col("paper_id").alias("b"), "ref_id")
-    shared = a.join(b, "ref_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    hot = distinct.groupBy("ref_id").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK_PAPERS)
+    listed = distinct.join(hot, "ref_id", "left").withColumn("chunks", F.ceil(F.coalesce("n", F.lit(1)) / CHUNK_PAPERS))
+    chunk, every = F.pmod(F.xxhash64("paper_id"), "chunks"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    a = listed.select(F.col("paper_id").alias("a"), "ref_id", chunk.alias("x"), every.alias("y"))
+    b = listed.select(F.col("paper_id").alias("b"), "ref_id", chunk.alias("y"), every.alias("x"))
+    shared = a.join(b, ["ref_id", "x", "y"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
     sized = shared.join(sizes.select(F.col("paper_id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("paper_id").alias("b"), F.col("n").alias("nb")), "b")
     return sized.select("a", "b", "shared", (F.col("shared") / F.sqrt(F.col("na") * F.col("nb"))).alias("weight"))
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import signals as S
 from quillgraph.functions.store import small
 from quillgraph.functions.vectors import dot, mean_pool
+from quillgraph.operators.similarity import BLOCK_ROWS
 
 
 def context_similarity(candidates: DataFrame, context: DataFrame) -> DataFrame:
@@ -67,17 +70,46 @@ def equation_signal(equations: DataFrame, wanted: DataFrame, as_of: float) -> Da
 
 def network_signal(candidates: DataFrame, corpus: DataFrame, mass: DataFrame, k: int = 10) -> DataFrame:
     """(paper_id, ppr): similarity-weighted network mass of the k most alike corpus papers of positive similarity."""
-    known = corpus.select(F.col("paper_id").alias("other"), F.col("embedding").alias("v")).join(mass.select(F.col("id").alias("other"), "mass"), "other")
-    near = top_similar(candidates, known, k)
+    own = mass.select(F.col("id").alias("other"), "mass")
+    known = corpus.select(F.col("paper_id").alias("other"), F.col("embedding").alias("v")).join(own, "other", "left_semi")
+    near = top_similar(candidates, known, k).join(own, "other")
     return candidates.select("paper_id").join(near.groupBy("paper_id").agg((F.sum(F.col("sim") * F.col("mass")) / F.sum("sim")).alias("ppr")), "paper_id", "left").select("paper_id", F.coalesce("ppr", F.lit(0.0)).alias("ppr"))
 
 
 def top_similar(candidates: DataFrame, known: DataFrame, k: int, positive: bool = True) -> DataFrame:
-    """(paper_id, other, sim, rank, ...): the k rows of ``known`` most alike each candidate, ties to the smaller id."""
-    sims = candidates.select("paper_id", "embedding").crossJoin(small(known)).withColumn("sim", dot("embedding", "v")).drop("embedding", "v")
-    sims = sims.where("sim > 0") if positive else sims
+    """(paper_id, other, sim, rank): the k rows of ``known`` (other, v) most alike each candidate, ties to the smaller id.
+
+    Both sides are dealt into blocks by a hash of the id, and every pair of blocks meets in one task as two matrices,
+    which hands on k rows a candidate: nothing holds all pairs. Null vectors take no part, and vectors of different
+    lengths do not meet. Products are added dimension by dimension, as ``dot`` adds them, so equal vectors tie.
+    """
+    left = candidates.select(F.col("paper_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("v is not null")
+    right = known.select(F.col("other").cast("string").alias("id"), F.col("v").cast("array<double>").alias("v")).where("v is not null and id is not null")
+    blocks = [max(1, -(-df.count() // BLOCK_ROWS)) for df in (left, right)]
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = left.select(F.lit(True).alias("asked"), "id", "v", F.size("v").alias("d"), deal(blocks[0]).alias("x"), every(blocks[1]).alias("y"))
+    there = right.select(F.lit(False).alias("asked"), "id", "v", F.size("v").alias("d"), deal(blocks[1]).alias("y"), every(blocks[0]).alias("x"))
+
+    def best(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        asked = table["asked"].to_numpy()
+        ids = np.array(table["id"].to_pylist(), object)
+        v = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), table["d"][0].as_py())
+        a, b = v[asked], v[~asked]
+        sims = np.zeros((len(a), len(b)))
+        for i in range(v.shape[1]):
+            sims += np.multiply.outer(a[:, i], b[:, i])
+        first = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        rows = np.repeat(np.arange(len(a)), first.shape[1])
+        places = first.ravel()
+        values = sims[rows, places]
+        keep = values > 0 if positive else ~np.isnan(values)
+        return pa.table([pa.array(ids[asked][rows[keep]], pa.string()), pa.array(ids[~asked][places[keep]], pa.string()), pa.array(values[keep])], names=["paper_id", "other", "sim"])
+
+    found = asked.unionByName(there).groupBy("x", "y", "d").applyInArrow(best, "paper_id string, other string, sim double")
     w = Window.partitionBy("paper_id").orderBy(F.desc("sim"), "other")
-    return sims.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def novelty(candidates: DataFrame, corpus: DataFrame, clusters: DataFrame) -> DataFrame:

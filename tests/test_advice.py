@@ -2,7 +2,7 @@
 
 import pytest
 
-from quillgraph.operators import causal, distances, fusion, ranking
+from quillgraph.operators import causal, citations, distances, fusion, ranking, scoring
 from quillgraph.plans import registry
 from quillgraph.plans.model import Model
 
@@ -47,3 +47,26 @@ def test_network_fusion_takes_the_whole_coupling(spark, sf, monkeypatch):
     want = {(a, b) for a in refs for b in refs if a != b and refs[a] & refs[b]}
     assert {(r.src, r.dst) for r in seen.pop("pairs").collect()} == want
     assert "rounds" not in seen  # the operator's own fifteen
+
+
+def test_top_similar_by_blocks_equals_a_plain_search(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "BLOCK_ROWS", 7)
+    vectors = [[float((i * 7 + j * 5) % 11 - 5) for j in range(4)] for i in range(40)]
+    asked = [(f"c{i}", vectors[i]) for i in range(20)] + [("none", None), ("long", [1.0] * 5)]
+    there = [(f"k{i:02d}", vectors[i % 30]) for i in range(60)] + [("k99", None)]
+    got = scoring.top_similar(spark.createDataFrame(asked, "paper_id string, embedding array<double>"), spark.createDataFrame(there, "other string, v array<double>"), 5)
+    dots = lambda a, b: sum(x * y for x, y in zip(a, b))
+    want = {(c, k, r + 1) for c, v in asked[:20] for r, (s, k) in enumerate(sorted((-dots(v, w), k) for k, w in there[:60] if dots(v, w) > 0)[:5])}
+    assert {(r.paper_id, r.other, r["rank"]) for r in got.collect()} == want
+    empty = spark.createDataFrame([], "other string, v array<double>")
+    assert scoring.top_similar(spark.createDataFrame(asked, "paper_id string, embedding array<double>"), empty, 5).count() == 0
+
+
+def test_coupling_over_chunks_of_a_hot_reference(spark, monkeypatch):
+    monkeypatch.setattr(citations, "CHUNK_PAPERS", 10)
+    rows = [(f"p{i:02d}", "hot") for i in range(60)] + [(f"p{i:02d}", f"r{i % 7}") for i in range(60)] + [("p00", "hot")]
+    refs = {}
+    for p, r in rows:
+        refs.setdefault(p, set()).add(r)
+    got = {(r.a, r.b): (r.shared, round(r.weight, 9)) for r in citations.coupling(spark.createDataFrame(rows, "paper_id string, ref_id string")).collect()}
+    assert got == {(a, b): (n, round(n / 2, 9)) for a in refs for b in refs if a < b and (n := len(refs[a] & refs[b]))}
