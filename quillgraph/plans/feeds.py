@@ -122,6 +122,32 @@ def stream_windows(m: Model) -> DataFrame:
     return counts.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
 
 
+@query(
+    """slid as (select unnest([time_bucket(interval '30 minutes', ts), time_bucket(interval '30 minutes', ts) - interval '30 minutes']) as start, event_type from events)
+    select strftime(start, '%Y-%m-%d %H:%M') as start, event_type, count(*) as n from slid group by all"""
+)
+def stream_sliding_windows(m: Model) -> DataFrame:
+    """STR-07: counts of a stream over the last hour, every thirty minutes"""
+    stream = X.files(m.spark, m.sf_dir, m.table("events").schema, "events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
+    state = X.State(m.spark, "sliding", m.spark.createDataFrame([], "start timestamp, event_type string, n long"))
+    counts = X.windowed_counts(stream, "at", "1 hour", "40 days", ["event_type"], state, "30 minutes")
+    return counts.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
+
+
+@query(
+    """marked as (select user_id, ts, coalesce(ts - lag(ts) over w >= interval '6 hours', true) as opens from events window w as (partition by user_id order by ts)),
+    told as (select user_id, ts, sum(opens::int) over (partition by user_id order by ts) as s from marked),
+    sessions as (select user_id, s, min(ts) as start, max(ts) as ending, count(*) as n from told group by all)
+    select user_id, strftime(start, '%Y-%m-%d %H:%M:%S') as start, n from sessions where ending + interval '6 hours' <= (select max(ts) from events) - interval '1 day'"""
+)
+def stream_sessions(m: Model) -> DataFrame:
+    """STR-07: closed sessions of every user in a stream, six hours without an event apart"""
+    stream = X.files(m.spark, m.sf_dir, m.table("events").schema, "events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
+    state = X.State(m.spark, "sessions", m.spark.createDataFrame([], "start timestamp, user_id long, n long"))
+    closed = X.session_counts(stream, "at", "6 hours", "1 day", ["user_id"], state)
+    return closed.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
 @query("select distinct user_id, event_type from events")
 def stream_first_seen(m: Model) -> DataFrame:
     """STR-03: stateful deduplication of a stream"""

@@ -110,6 +110,26 @@ def test_streams_take_up_where_they_ended(spark, tmp_path):
     assert {r.user: r.v for r in latest.collect()} == {"a": "z", "b": "y"}
 
 
+def test_state_goes_on_in_its_folder(spark, tmp_path):
+    folder, base, schema = f"file://{tmp_path}/in", f"file://{tmp_path}/state", "user string, ts long, v string"
+    spark.createDataFrame([("a", 1, "x"), ("b", 5, "y")], schema).write.parquet(folder)
+    opened = lambda: watches.State(spark, "t", spark.createDataFrame([], schema), base)
+    assert opened().read().count() == 0
+    watches.latest_by(watches.files(spark, folder, schema), "user", ["ts"], opened())
+    spark.createDataFrame([("a", 3, "z"), ("b", 2, "w")], schema).write.mode("append").parquet(folder)
+    again = watches.latest_by(watches.files(spark, folder, schema), "user", ["ts"], opened())
+    assert {r.user: r.v for r in again.collect()} == {r.user: r.v for r in opened().read().collect()} == {"a": "z", "b": "y"}
+
+
+def test_a_batch_that_runs_again_gives_the_same_state(spark, tmp_path):
+    state = watches.State(spark, "t", spark.createDataFrame([], "n long"), f"file://{tmp_path}/state")
+    add = lambda number: state.replace(state.read(number).unionByName(spark.range(number, number + 1).toDF("n")), number)
+    for number in (0, 1, 1, 2, 2, 3):
+        add(number)
+    assert sorted(r.n for r in state.read().collect()) == [0, 1, 2, 3]
+    assert sorted({n for n, _ in state._versions()}) == [2, 3]
+
+
 def one(spark, expression, **values):
     return spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()]).select(expression).first()[0]
 
