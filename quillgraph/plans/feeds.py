@@ -25,6 +25,88 @@ def source_noise(m: Model) -> DataFrame:
     return m.table("orders").select("o_orderkey", W.is_noise(doi, pick(("", "journal-article", "report", "posted-content"), F.col("o_custkey")), pick(("the library journal", "annals", "letters"), F.col("o_custkey"))).alias("noise"))
 
 
+_ID = "case when {s2} <> '' then 's2_' || {s2} when {doi} <> '' then 'doi_' || substr(sha1(lower({doi})), 1, 10) when {arxiv} <> '' then 'arxiv_' || {arxiv} else 'title_' || substr(sha1(lower(title)), 1, 10) end as paper_id"
+
+
+def _landed(papers: DataFrame, **fields) -> DataFrame:
+    """A page a paper, as a service would land it."""
+    return papers.select(F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()])).alias("json"))
+
+
+@query(
+    f"""words as (select doc_id, unnest(w) as w, generate_subscripts(w, 1) as i from (select doc_id, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') as w from documents)),
+    texts as (select doc_id, string_agg(w, ' ' order by i) as t from words group by doc_id),
+    listed as (select papers.* replace (substr(trim(title), 1, 250) as title), coalesce(t, '') as t, lower(doi) as low from papers left join texts on doc_id = ordinal)
+    select {_ID.format(s2="''", doi="low", arxiv="''")}, title, md5(substr(t, 1, 2000)) as abstract, array_to_string(authors, '; ') as authors, year, low as doi, case when low <> '' then 'https://doi.org/10.1234/DOC.' || substr(low, 13) else 'https://openalex.org/W' || ordinal end as url, venue,
+      [true, false, null][ordinal % 3 + 1] as is_peer_reviewed, cited_by_count from listed where title <> ''""",
+    "papers",
+)
+def works_scan(m: Model) -> DataFrame:
+    """SRC-09, SRC-10: landed pages of a works index as papers, abstracts put together from their inverted form"""
+    words = m.table("documents").select("doc_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("p", "w")).groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps"))
+    inverted = words.groupBy(F.col("doc_id").alias("ordinal")).agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("inverted"))
+    kind = F.element_at(F.array(F.lit("Journal"), F.lit("repository"), F.lit("")), (F.pmod("ordinal", F.lit(3)) + 1).cast("int"))
+    place = F.struct(F.struct(F.col("venue").alias("display_name"), kind.alias("type")).alias("source"))
+    landed = _landed(
+        m.papers.join(inverted, "ordinal", "left"), id=F.concat(F.lit("https://openalex.org/W"), "ordinal"), doi=F.when(F.col("doi") != "", F.concat(F.lit("https://doi.org/"), F.upper("doi"))), display_name=F.col("title"), publication_year=F.col("year"),
+        cited_by_count=F.col("cited_by_count"), abstract_inverted_index=F.col("inverted"), authorships=F.transform("authors", lambda a: F.struct(F.struct(a.alias("display_name")).alias("author"))), primary_location=place,
+    )
+    got = W.openalex(landed)
+    return got.select("paper_id", "title", F.md5(F.encode("abstract", "UTF-8")).alias("abstract"), F.array_join("authors", "; ").alias("authors"), "year", "doi", "url", "venue", "is_peer_reviewed", "cited_by_count")
+
+
+@query(
+    f"""kinds as (select * replace (substr(trim(title), 1, 250) as title), trim(title) as whole, ['journal-article', 'posted-content', 'report', ''][ordinal % 4 + 1] as form, case when ordinal % 11 = 0 then '10.5860/choice.' || ordinal else doi end as d, case when ordinal % 10 = 3 then 'Library Journal' else venue end as place from papers)
+    select {_ID.format(s2="''", doi="d", arxiv="''")}, title, substr(regexp_replace('Of ' || regexp_replace(whole, '[<>]', '', 'g') || ' & more', '\\s+', ' ', 'g'), 1, 2000) as abstract, array_to_string(authors, '; ') as authors, year, d as doi, case when d <> '' then 'https://doi.org/' || d else '' end as url, place as venue,
+      case form when 'journal-article' then true when 'posted-content' then false end as is_peer_reviewed, cited_by_count
+    from kinds where title <> '' and ordinal % 11 <> 0 and form <> 'report' and place <> 'Library Journal'""",
+    "papers",
+)
+def registry_scan(m: Model) -> DataFrame:
+    """SRC-11, SRC-12: landed pages of a DOI registry as papers, without tags and noise"""
+    o, title = F.col("ordinal"), F.trim("title")
+    form = F.element_at(F.array(*[F.lit(x) for x in ("journal-article", "posted-content", "report", "")]), (F.pmod(o, F.lit(4)) + 1).cast("int"))
+    dated = F.struct(F.when(F.col("year").isNotNull(), F.array(F.array("year", F.lit(3)))).alias("date-parts"))
+    landed = _landed(
+        m.papers, DOI=F.when(F.pmod(o, F.lit(11)) == 0, F.concat(F.lit("10.5860/CHOICE."), o.cast("string"))).otherwise(F.col("doi")), type=form, title=F.array(title), abstract=F.concat(F.lit("<jats:p>Of \n "), F.regexp_replace(title, r"[<>]", ""), F.lit("  &</jats:p> more")),
+        author=F.transform("authors", lambda a: F.struct(F.substring_index(a, " ", 1).alias("given"), F.substring_index(a, " ", -1).alias("family"))), **{"container-title": F.array(F.when(F.pmod(o, F.lit(10)) == 3, "Library Journal").otherwise(F.col("venue"))), "is-referenced-by-count": F.col("cited_by_count")},
+        **{("issued", "published-online")[i]: F.when(F.pmod(o, F.lit(2)) == i, dated) for i in (0, 1)},
+    )
+    return W.crossref(landed).select("paper_id", "title", "abstract", F.array_join("authors", "; ").alias("authors"), "year", "doi", "url", "venue", "is_peer_reviewed", "cited_by_count")
+
+
+@query(
+    f"""listed as (select * replace (substr(trim(title), 1, 250) as title), trim(title) as whole from papers)
+    select {_ID.format(s2="s2_id", doi="doi", arxiv="arxiv_id")}, title, array_to_string(authors, '; ') as authors, year, doi, s2_id, arxiv_id, case when ordinal % 2 = 0 then 'https://example.org/' || ordinal when arxiv_id <> '' then 'https://arxiv.org/abs/' || arxiv_id else '' end as url, venue,
+      case when ordinal % 3 = 0 then true when arxiv_id <> '' and venue = '' then false end as is_peer_reviewed from listed where title <> ''""",
+    "papers",
+)
+def scholar_scan(m: Model) -> DataFrame:
+    """SRC-13: landed pages of a scholar index as papers"""
+    o = F.col("ordinal")
+    landed = _landed(
+        m.papers, paperId=F.col("s2_id"), title=F.col("title"), abstract=F.col("abstract"), year=F.col("year"), url=F.when(F.pmod(o, F.lit(2)) == 0, F.concat(F.lit("https://example.org/"), o.cast("string"))), authors=F.transform("authors", lambda a: F.struct(a.alias("name"))),
+        externalIds=F.struct(F.col("doi").alias("DOI"), F.col("arxiv_id").alias("ArXiv")), publicationVenue=F.struct(F.col("venue").alias("name"), F.when(F.pmod(o, F.lit(3)) == 0, "Journal").alias("type")),
+    )
+    return W.semantic_scholar(landed).select("paper_id", "title", F.array_join("authors", "; ").alias("authors"), "year", "doi", "s2_id", "arxiv_id", "url", "venue", "is_peer_reviewed")
+
+
+@query(
+    f"""listed as (select *, ordinal || '.5' as number, year is not null as dated from papers where ordinal % 5 <> 0)
+    select {_ID.format(s2="''", doi="''", arxiv="number").replace("lower(title)", "lower(t)")}, t as title, 'Of ' || ordinal as abstract, array_to_string(authors, '; ') as authors, year, number as arxiv_id, 'https://arxiv.org/abs/' || number as url, 'arXiv' as venue, false as is_peer_reviewed from (select *, 'A < B of ' || ordinal as t from listed)""",
+    "papers",
+)
+def preprint_scan(m: Model) -> DataFrame:
+    """SRC-14: landed Atom feeds of a preprint server as papers; a fifth of the feeds does not parse"""
+    o = F.col("ordinal").cast("string")
+    people = F.array_join(F.transform("authors", lambda a: F.concat(F.lit("<author><name>"), a, F.lit("</name></author>"))), "")
+    dated = F.coalesce(F.concat(F.lit("<published>"), F.col("year").cast("string"), F.lit("-02-03T00:00:00Z</published>")), F.lit(""))
+    entry = F.concat(F.lit("<entry><id>http://arxiv.org/abs/"), o, F.lit(".5v2</id><title> A &lt; B of "), o, F.lit(" </title><summary>Of "), o, F.lit("</summary>"), people, dated, F.lit("</entry>"))
+    whole = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), entry, F.lit("</feed>"))
+    feeds = m.papers.select(F.when(F.pmod("ordinal", F.lit(5)) == 0, "<feed><entry>").otherwise(whole).alias("xml"))
+    return W.arxiv(feeds).select("paper_id", "title", "abstract", F.array_join("authors", "; ").alias("authors"), "year", "arxiv_id", "url", "venue", "is_peer_reviewed")
+
+
 @query("select page_id, sha256('1|pages|' || url) as key from pages")
 def cache_keys(m: Model) -> DataFrame:
     """SRC-29"""
