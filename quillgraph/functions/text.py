@@ -289,6 +289,159 @@ def readable(sentence: Column, least: int = 5) -> Column:
     return F.coalesce((F.length(sentence) >= 20) & (letters / F.nullif(F.length(sentence), F.lit(0)) >= 0.55) & ~marked & _held(words, prose), F.lit(False))
 
 
+# What is no prose in the text of a page, each blanked in this order; (?i) where letter case does not matter.
+DISPLAY_NOISE = (
+    r"[A-Za-z]+\d{1,4}\s*\(\d{4}\)\s*[\d\-–]+\s*",
+    r"[A-Za-z]+\s+\d{1,4}\s*\(\d{4}\)\s*[\d\-–]+\s*",
+    r"(?i)contents?\s*lists?\s*available\s*at\s*\S+",
+    r"(?i)journal\s*homepage\s*:?\s*\S+",
+    r"(?i)Available\s+online\s+at\s+\S+",
+    r"https?://\S+",
+    r"www\.\S+",
+    r"(?i)doi\s*:?\s*10\.\S+",
+    r"(?i)E-mail\s*:\s*\S+",
+    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.\S+",
+    r"\d{4}[-~/]\d{3}[\dxX]\S*",
+    r"\$\d+\.\d{2}\S*",
+    r"(?i)Vol\.\s*\d+\s*,?\s*No\.\s*\d+[^.]*",
+    r"(?i)pp\.\s*\d+\s*[-–]\s*\d+",
+    r"(?i)Elsevier\s*(B\.V\.|Science|Ltd)?|Pergamon(\s+Press)?|Academic\s+Press|Springer[-\s]Verlag|Cambridge\s+University\s+Press|Wiley[-\s]Liss",
+    r"©\s*\d{4}[^.]*\.?",
+    r"(?i)Copyright\s+.{0,40}Society\s+\w+",
+    r"(?i)Printed\s+in\s+\S+",
+    r"(?i)\bARTICLE\s+IN\s+PRESS\b",
+    r"Behavioral/\w+/\w+",
+    r"\b[A-Z]{5,}\b",
+    r"(?i)(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s*\d{4}",
+    r"(?i)^(?:The\s+)?(?:Journal\s+of\s+[\w\s,]+|Cognitive\s+Psychology|Neuropsychologia|Psychological\s+(?:Review|Bulletin|Science))[\s,]*(?:\d{4}|Vol\.)",
+    r"(?i)Contentslistsavailable\S*",
+    r"(?i)journalhomepage\S*",
+    r"(?i)a\s+r\s+t\s+i\s+c\s+l\s+e\s+i\s+n\s+f\s+o",
+    r"(?i)a\s+b\s+s\s+t\s+r\s+a\s+c\s+t",
+    r"(?i)k\s+e\s+y\s+w\s+o\s+r\s+d\s+s",
+    r"(?i)Email\s*:\s*\S+",
+    r"\[[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\]",
+    r"(?i)Author\s+Note\b[^.]{0,300}\.?",
+    r"(?i)Correspondence\s+concerning\b[^.]{0,300}\.?",
+    r"(?:[A-Z]+\s+){3,}\d+\b",
+    r"(?i)published\s*:\s*\d+\s*\w+\s*\d{4}",
+    r"(?i)[a-z]+-\d+-\d+\s+\w+\d+,?\d*\s+Time:\d+:\d+\s*#\d+",
+    r"(?i)\bORIGINALRESEARCH\b|\bOriginal\s+Research\b",
+    r"(?i)doi:\s*10\.\d{4,}/\S+",
+    r"(?i)\w+\.\w+publishing\.\w+",
+    r"(?i)Cite\s*this\s*article\s*:.*",
+    r"(?i)(?:Accepted|Received)\d+\w+\d{4}",
+    r"(?i)(?:Articlehistory|Article\s*history)\s*:",
+    r"\bAbstract\b",
+    r"\b[a-z]{16,}\b",
+    r"\b[a-z][a-z-]{20,}\b",
+    r"\b\w*[a-z][A-Z]\w{4,}\b",
+    r"\b[A-Z][a-z]+[A-Z][a-z]*'[A-Z][a-z]+\b",
+    r"\b\w+[a-z][A-Z]\w*'\w*\b",
+    r",\s*[A-Z]{2,5}\d*\s*,\s*[A-Za-z]+",
+    r"(?i),\s*(?:USA|UK|Australia|Canada|Germany|France|China|Japan)\b",
+)
+CHARACTER_CODES = r"\(cid:\d+\)"
+
+
+def displayed(text: Column) -> Column:
+    """The prose of a page's text: damage repaired, publishers' phrases and words run together blanked, white space collapsed."""
+    plain = F.regexp_replace(without_ligatures(repaired(text)), CHARACTER_CODES, "")
+    quiet = reduce(lambda t, p: F.regexp_replace(t, p, " "), DISPLAY_NOISE, plain)
+    return F.trim(F.regexp_replace(quiet, r"\s{2,}", " "))
+
+
+# How a sentence opens that makes a claim, and one that tells a result.
+CLAIM_OPENERS = (
+    r"(?i)(?:we|this study|this paper|this work|our|here,?\s+we|results?|findings?|data|analysis|evidence|the\s+present)\s+"
+    r"(?:show|find|demonstrate|propose|report|present|argue|suggest|reveal|found|showed|demonstrated|reported|observed|identified|indicates?|suggests?)\s+(?:that\s+)?"
+)
+FINDING_OPENERS = (
+    r"(?i)(?:we\s+(?:found|observed|showed|demonstrated|report)|results?\s+(?:show|indicate|suggest|reveal|demonstrate)|"
+    r"our\s+(?:results?|findings?|analysis)\s+(?:show|indicate|suggest)|here\s+we)"
+)
+NO_CLAIM, NO_FINDING = "investigates key aspects of the research question", "contributes important evidence to this area"
+
+# What a claim never holds.
+CLAIM_JUNK = (
+    r"(?i)email|@|\[your|\[last\s+name\]|\[university",
+    r"(?i)university|department|princeton|callaghan|newcastle|institute|division|semel|los\s+angeles",
+    r"[A-Z][a-z]+\s*,\s*,",
+    r"^investigates key aspects",
+    r"(?i)^(?:cognitive\s+psychology|neuropsychologia|psychological\s+(?:review|bulletin|science)|journal\s+of|neuroscience|annual\s+review|quarterly\s+journal|psychonomic\s+bulletin|biology\s+&?\s*philosophy)",
+    r"(?i)\bjournal\s+of\s+\w+",
+    r"(?i)\b(?:quarterly|bulletin|proceedings)\s+(?:of|and)\b",
+    r"\b[a-z]{3,10}\s+[a-z]\.?\s*$",
+    r"\w+'\s*$",
+    r"(?i)^(?:of|and|or|the|in|on|for|to|a|an)\s+\d+\s+",
+    r"^\d+\s+",
+)
+
+# What is cut from a title that stands for a claim, in this order, and what comes in its place.
+TITLE_CUTS = (
+    (r"^(?:[A-Z]+\s+){3,}\d+\s*", ""),
+    (r"(?i)^(?:The\s+)?Journal\s+of\s+(?:[A-Z]\w+\s+){1,4}", ""),
+    (r"(?i)^(?:Cognitive\s+Psychology|Neuropsychologia|Psychological\s+(?:Review|Bulletin|Science)|Psychology|Neuroscience|Mathematics|Physics|Annual\s+Review\s+of\s+\w+)\s*", ""),
+    (r"(?i)^(?:The|A|An)\s+", ""),
+    (r"(?i)\s+(?:Department|Division|Institute|School)\s+of\b.*", ""),
+    (r"\s+\[.*", ""),
+    (r"(?i)\s+Autho\b.*", ""),
+    (r"\b\w*[a-z][A-Z]\w{4,}\b", " "),
+    (r"\b[a-z]{16,}\b", " "),
+    (r"\s{2,}", " "),
+)
+OUTER_SPACE, CLOSING_MARKS = r"^\s+|\s+$", r"[.,;:]+$"
+
+
+def plausible_claim(text: Column) -> Column:
+    """Whether a fragment reads as a claim: no affiliation, list of names, journal or words run together."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    blob = lambda w: (F.length(w) > 25) & w.rlike(r"^-*\p{L}[\p{L}-]*$")
+    commas = F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))
+    junk = reduce(lambda a, b: a | b, [text.rlike(p) for p in CLAIM_JUNK])
+    return (F.length(text) >= 15) & ~junk & _held(words, lambda w: ~F.exists(w, blob) & (commas <= F.greatest(F.lit(2.0), F.size(w) * 0.3)))
+
+
+def title_as_claim(title: Column) -> Column:
+    """A title without headers, journals and affiliations, cut at a word to 90 characters, in lower case; null if it is short."""
+    strip = lambda t: F.regexp_replace(t, OUTER_SPACE, "")
+    short = reduce(lambda t, p: strip(F.regexp_replace(t, *p)), TITLE_CUTS, strip(title))
+    cut = _held(short, lambda t: F.when(F.length(t) > 90, F.regexp_replace(F.substring(t, 1, 90), " [^ ]*$", "")).otherwise(t))
+    return _held(cut, lambda t: F.when(F.length(t) > 10, F.lower(t)))
+
+
+def _first_plausible(fragments: Column) -> Column:
+    return F.get(F.filter(fragments, plausible_claim), F.lit(0))
+
+
+def _told(prose: Column, openers: str, longest: int) -> Column:
+    """What the sentences say after an opener, where that is more than 20 characters."""
+    after = F.transform(F.filter(prose, lambda s: s.rlike(openers)), lambda s: F.substring(F.regexp_extract(s, f"{openers}(?s:\\s*(.*))", 1), 1, longest))
+    return F.transform(F.filter(after, lambda s: F.length(s) > 20), lambda s: F.concat(F.regexp_replace(F.lower(s), CLOSING_MARKS, ""), F.lit("...")))
+
+
+def _whole(sentence: Column, least: int, longest: int) -> Column:
+    cut = F.substring(sentence, 1, longest)
+    return F.when(F.length(cut) > least, F.regexp_replace(F.lower(cut), CLOSING_MARKS, ""))
+
+
+def prose(text: Column) -> Column:
+    """The readable sentences of a page's text."""
+    return F.filter(sentences(displayed(text)), lambda s: readable(s))
+
+
+def main_claim(sentences: Column, title: Column) -> Column:
+    """What readable ``sentences`` claim: after an opener, else the second, else the first, else the title."""
+    found = F.concat(_told(sentences, CLAIM_OPENERS, 110), F.array_compact(F.array(_whole(F.get(sentences, F.lit(1)), 25, 110), _whole(F.get(sentences, F.lit(0)), 20, 110))))
+    return F.coalesce(_first_plausible(found), title_as_claim(title), F.lit(NO_CLAIM))
+
+
+def key_finding(sentences: Column, title: Column) -> Column:
+    """What readable ``sentences`` found: after an opener beyond the first sentence, else the last sentence, else the title."""
+    found = F.concat(_told(F.slice(sentences, 2, 1_000_000_000), FINDING_OPENERS, 90), F.array_compact(F.array(_whole(F.try_element_at(sentences, F.lit(-1)), 20, 90))))
+    return F.coalesce(_first_plausible(found), title_as_claim(title), F.lit(NO_FINDING))
+
+
 def relevant_sentence(text: Column, terms: list[str], least: float = 0.08) -> Column:
     """The sentence that holds the largest share of the terms, the first of equals; null under ``least``."""
     words = lambda s: F.array_distinct(F.split(F.lower(s), r"[^a-z0-9]+"))

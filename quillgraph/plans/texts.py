@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -230,6 +232,50 @@ def readable_sentences(m: Model) -> DataFrame:
     return m.table("documents").where("text is not null").select("doc_id", s.alias("s")).select("doc_id", F.size("s").cast("long").alias("n"), md5(F.array_join("s", "|")).alias("digest"))
 
 
+_HEADS = ("Results suggest that the rate of change grows with the size of the group. ", "Cognition 91(2019)1437-1460 Contents lists available at ScienceDirect. ", "")
+_blanked = lambda patterns, x: reduce(lambda t, p: f"regexp_replace({t}, {_quote(p)}, ' ', 'g')", patterns, x)
+_REPAIRED = f"regexp_replace({_nested(T.MOJIBAKE + T.PLAIN_QUOTES, 'page')}, '[\\x{{80}}-\\x{{9f}}]', '', 'g')"
+_DISPLAYED = f"trim(regexp_replace({_blanked(T.DISPLAY_NOISE, f'regexp_replace({_nested(T.LIGATURES, _REPAIRED)}, {_quote(T.CHARACTER_CODES)}, {_quote(str())}, {_quote(chr(103))})')}, '\\s{{2,}}', ' ', 'g'))"
+_PAGES = f"select paper_id, title, {list(_HEADS)}[ordinal % 3 + 1] || regexp_replace(abstract, '[^ -~\\n]', '', 'g') as page from papers"
+
+
+def _pages(m: Model) -> DataFrame:
+    head = F.element_at(F.array(*[F.lit(h) for h in _HEADS]), (F.pmod("ordinal", F.lit(3)) + 1).cast("int"))
+    return m.papers.select("paper_id", "title", F.concat(head, F.regexp_replace("abstract", r"[^ -~\n]", "")).alias("page"))
+
+
+@query(f"select paper_id, length(x) as n, md5(x) as digest from (select paper_id, {_DISPLAYED} as x from ({_PAGES}))", "papers")
+def displayed_texts(m: Model) -> DataFrame:
+    """STR-T11: the prose of texts with publishers' phrases; compared on ASCII, as word boundaries differ between engines"""
+    return _pages(m).select("paper_id", T.displayed(F.col("page")).alias("x")).select("paper_id", F.length("x").cast("long").alias("n"), md5(F.col("x")).alias("digest"))
+
+
+_JUNK = " or ".join(f"regexp_matches(y, {_quote(p)})" for p in T.CLAIM_JUNK)
+_PLAUSIBLE = rf"""lambda y: length(y) >= 15 and not ({_JUNK}) and len(list_filter(string_split_regex(y, '\s+'), lambda z: length(z) > 25 and regexp_matches(z, '^-*\p{{L}}[\p{{L}}-]*$'))) = 0
+      and length(y) - length(replace(y, ',', '')) <= greatest(2.0, len(list_filter(string_split_regex(y, '\s+'), lambda z: z <> '')) * 0.3)"""
+_stripped = lambda x: f"regexp_replace({x}, {_quote(T.OUTER_SPACE)}, '', 'g')"
+_TITLE = reduce(lambda t, p: _stripped(f"regexp_replace({t}, {_quote(p[0])}, {_quote(p[1])}, 'g')"), T.TITLE_CUTS, _stripped("title"))
+_unmarked = lambda x: f"regexp_replace(lower({x}), {_quote(T.CLOSING_MARKS)}, '')"
+_after = lambda s, openers, longest: f"list_transform(list_filter(list_transform(list_filter({s}, lambda y: regexp_matches(y, {_quote(openers)})), lambda y: substr(regexp_extract(y, {_quote(openers + '(?s:' + chr(92) + 's*(.*))')}, 1), 1, {longest})), lambda y: length(y) > 20), lambda y: {_unmarked('y')} || '...')"
+_sentence = lambda x, least, longest: f"case when length(substr({x}, 1, {longest})) > {least} then {_unmarked(f'substr({x}, 1, {longest})')} end"
+
+
+@query(
+    f"""pages_ as ({_PAGES}), cut as (select paper_id, unnest(s) as x, generate_subscripts(s, 1) as i from (select paper_id, {_SENTENCES} as s from (select paper_id, {_DISPLAYED} as text from pages_))),
+    told as (select paper_id, i, x, list_filter(string_split_regex(x, '\\s+'), lambda y: y <> '') as w from cut),
+    kept as (select paper_id, list(x order by i) as s from told where {_PROSE} group by paper_id),
+    titled as (select paper_id, case when length(t) > 90 then regexp_replace(substr(t, 1, 90), ' [^ ]*$', '') else t end as t from (select paper_id, {_TITLE} as t from pages_)),
+    found as (select paper_id, t, list_filter(list_concat({_after('s', T.CLAIM_OPENERS, 110)}, list_filter([{_sentence('s[2]', 25, 110)}, {_sentence('s[1]', 20, 110)}], lambda y: y is not null)), {_PLAUSIBLE}) as c,
+      list_filter(list_concat({_after('s[2:]', T.FINDING_OPENERS, 90)}, list_filter([{_sentence('s[-1]', 20, 90)}], lambda y: y is not null)), {_PLAUSIBLE}) as f from titled left join kept using (paper_id))
+    select paper_id, coalesce(c[1], case when length(t) > 10 then lower(t) end, {_quote(T.NO_CLAIM)}) as claim, coalesce(f[1], case when length(t) > 10 then lower(t) end, {_quote(T.NO_FINDING)}) as finding from found""",
+    "papers",
+)
+def claims_and_findings(m: Model) -> DataFrame:
+    """STR-T12: what each paper claims and what it found"""
+    told = _pages(m).select("paper_id", "title", T.prose(F.col("page")).alias("s"))
+    return told.select("paper_id", T.main_claim(F.col("s"), F.col("title")).alias("claim"), T.key_finding(F.col("s"), F.col("title")).alias("finding"))
+
+
 _TERMS = [w for w in QUESTION.split() if w not in T.STOP_WORDS]
 
 

@@ -46,3 +46,15 @@ def test_headers_and_query_variants(spark):
     garbled = values(spark, T.query_variants(F.lit("Psychological Review 1974, a"), F.col("t")), [prose[:90]])[0]
     assert garbled == [prose[:90].strip(), "Psychological Review 1974, a"]
     assert values(spark, T.recovered_title(F.col("t")), [prose, "short"]) == ["We show that memory drifts over time in all of our subjects", ""]
+
+
+def test_display_claims_and_findings(spark):
+    page = "Cognition 91(2019)1437-1460 Contents lists available at ScienceDirect. We show that rates of change grow with size of groups. Other lines tell little of note here. Our results suggest a link between the two rates."
+    rows = [(page, "A title"), ("", "The Journal of Odd Things Rates of Change in Groups Department of X"), ("", "short"), (None, None), ("One sentence of several plain words at Princeton. Second one from the University of Here.", "The Rates of Change")]
+    df = spark.createDataFrame(rows, "page string, title string").withColumn("s", T.prose(F.col("page")))
+    got = df.select(T.displayed(F.col("page")), T.main_claim(F.col("s"), F.col("title")), T.key_finding(F.col("s"), F.col("title"))).collect()
+    assert got[0][0].startswith("We show that rates") and "ScienceDirect" not in got[0][0]
+    assert got[0][1:] == ("rates of change grow with size of groups...", "a link between the two rates...")
+    assert got[1][1:] == ("change in groups", "change in groups")
+    assert got[2][1:] == got[3][1:] == (T.NO_CLAIM, T.NO_FINDING)
+    assert got[4][1:] == ("rates of change", "rates of change")
