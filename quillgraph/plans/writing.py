@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions import embedding as E
+from quillgraph.functions.text import STOP_WORDS
 from quillgraph.functions.vectors import dot
 from quillgraph.operators import rendering as N
 from quillgraph.plans import reasoning, reporting
@@ -82,7 +83,12 @@ def review_scaffold(m: Model) -> DataFrame:
     return N.review_scaffold(review, reporting.keys(m), themes).select("position.part", "position.order", "line")
 
 
-@query()
+@query(
+    """found as (select paper_id as token, title, niche as watch, list_inner_product(embedding, context) as score from candidates, context where list_inner_product(embedding, context) > 0.05)
+    select 0 as part, watch || '/0' as "order", '## ' || watch || ' (' || count(*) || ' kept)' as line from found group by watch
+    union all select 0, watch || '/1/' || lpad((row_number() over (partition by watch order by score desc, token))::varchar, 9, '0'), '- **' || title || '** — ' || round(score, 3)::varchar from found""",
+    "candidates", "context",
+)
 def watch_digest(m: Model) -> DataFrame:
     """SNK-12"""
     found = m.candidates.crossJoin(F.broadcast(m.context)).select(F.col("paper_id").alias("token"), "title", F.col("niche").alias("watch"), dot("embedding", "context").alias("score")).where("score > 0.05")
@@ -116,7 +122,13 @@ def context_facts(m: Model) -> DataFrame:
     return N.context_facts(reasoning.shown(m), causal.oriented(m.combined_edges, m.corpus, m.citation_edges), m.membership)
 
 
-@query()
+@query(
+    f"""told as (select conv_id, turn, list_filter(string_split_regex(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+'), lambda w: w <> '') as w, row_number() over () as k from conversations),
+    runs as (select k, list_transform(string_split(array_to_string(list_transform(w, lambda x: case when x in {STOP_WORDS} then '|' else x end), ' '), '|'), lambda r: trim(r)) as r from told where w is not null),
+    cut as (select k, unnest(r) as run, generate_subscripts(r, 1) as i from runs),
+    best as (select k, array_to_string(string_split(run, ' ')[1:4], ' ') as theme from cut qualify row_number() over (partition by k order by case when run = '' then 0 else len(string_split(run, ' ')) end desc, i) = 1)
+    select conv_id, turn, theme from told left join best using (k)"""
+)
 def theme_phrases(m: Model) -> DataFrame:
     """STR-T13"""
     return m.table("conversations").select("conv_id", "turn", N.theme_phrase(F.col("text")).alias("theme"))
