@@ -107,9 +107,8 @@ CTES["relevance"] = (
 
 
 def mass(m: Model) -> DataFrame:
-    edges = m.semantic_edges.unionByName(m.citation_edges.select("src", "dst", "weight"))
     restart = m.corpus.where("weight > 0").select(F.col("paper_id").alias("id"), "weight")
-    return m.shared("mass", lambda: G.network_mass(m.corpus.select(F.col("paper_id").alias("id")), edges, restart, rounds=R.PPR_ROUNDS))
+    return m.shared("mass", lambda: G.packed_mass(m.places, m.packed(overlay=False), restart, rounds=R.PPR_ROUNDS))
 
 
 def scored(m: Model, wanted: DataFrame | None = None) -> DataFrame:
