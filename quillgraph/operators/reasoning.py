@@ -14,14 +14,13 @@ from quillgraph.operators.ranking import top
 TOP = 10
 
 
-def retrieved(papers: DataFrame, question: DataFrame, query: str, edges: DataFrame, ranks: DataFrame) -> DataFrame:
-    """(paper_id, blended, sim, keyword, centrality, degree, role) of every paper.
+def retrieved(papers: DataFrame, question: DataFrame, query: str, edges: DataFrame | None, ranks: DataFrame) -> DataFrame:
+    """(paper_id, blended, sim, keyword, centrality, degree, role) of every paper; without edges the ranks have the degrees.
 
     Centrality weighs the more, the sparser the graph; the rest is split between similarity and keywords. Hubs are the
     papers whose degree reaches that of the fifth of all papers with the highest.
     """
-    nodes = papers.select(F.col("paper_id").alias("id"))
-    degree = G.settled(G.degrees(edges, nodes), "degrees")
+    degree = ranks.select("id", "degree") if edges is None else G.settled(G.degrees(edges, papers.select(F.col("paper_id").alias("id"))), "degrees")
     n, ends = degree.agg(F.count("*"), F.sum("degree")).first()
     density = (ends / n) / max(n - 1, 1)
     weight = max(0.02, 0.15 * (1 - density))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
 from quillgraph.operators import graph as G
+from quillgraph.operators import layers as L
 from quillgraph.operators import reasoning as A
 from quillgraph.operators.ranking import PPR_ROUNDS
-from quillgraph.plans.model import CTES, QUESTION, Model
+from quillgraph.plans.model import CTES, QUESTION, SEMANTIC, Model
 from quillgraph.plans.registration import r6, registrar
 
 QUERIES, ORACLES, query = registrar()
@@ -47,15 +48,26 @@ CTES["matched"] = (
 
 
 def found(m: Model) -> DataFrame:
-    edges = G.settled(m.combined_edges, "combined")
-    ranks = G.settled(G.pagerank(m.corpus.select(F.col("paper_id").alias("id")), edges.select("src", "dst", "weight"), rounds=PPR_ROUNDS), "centrality")
-    return A.retrieved(m.corpus, m.question, QUESTION, edges, ranks)
+    ranks = m.shared("centrality", lambda: L.walk(m.places, m.packed(overlay=True), rounds=PPR_ROUNDS))
+    return A.retrieved(m.corpus, m.question, QUESTION, None, ranks)
 
 
 def shown(m: Model) -> DataFrame:
     return G.settled(A.answers(found(m)).join(m.corpus.select("paper_id", "title", "year"), "paper_id"), "shown")
 
 
+def among(m: Model, shown: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(src, dst) of the citation and of the semantic layer among a few shown papers; the other pairs are not made."""
+    from quillgraph.operators.citations import coupling
+    from quillgraph.operators.similarity import similar_pairs
+
+    few = F.broadcast(shown.select("paper_id"))
+    cited = G.induced(m.direct_edges.select("src", "dst"), few.select(F.col("paper_id").alias("id")))
+    coupled = coupling(m.refs.join(few, "paper_id", "left_semi")).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    alike = similar_pairs(m.corpus.join(few, "paper_id", "left_semi").select(F.col("paper_id").alias("id"), "embedding"), SEMANTIC)
+    return cited.unionByName(coupled), alike.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
 def matched(m: Model) -> DataFrame:
     from quillgraph.functions.vectors import dot
 
@@ -105,7 +117,8 @@ def niche_profiles(m: Model) -> DataFrame:
 )
 def paper_connections(m: Model) -> DataFrame:
     """JON-13"""
-    return A.connections(shown(m), m.citation_edges, m.semantic_edges, m.refs, m.membership)
+    found = shown(m)
+    return A.connections(found, *among(m, found), m.refs, m.membership)
 
 
 @query(
@@ -154,7 +167,7 @@ def coverage_note(m: Model) -> DataFrame:
 )
 def citation_lineages(m: Model) -> DataFrame:
     """WIN-19"""
-    return A.lineages(shown(m), m.citation_edges.where("etype = 'citation'").select("src", "dst")).where("a <> b")
+    return A.lineages(shown(m), m.direct_edges.select("src", "dst")).where("a <> b")
 
 
 @query(
@@ -166,7 +179,7 @@ def citation_lineages(m: Model) -> DataFrame:
 def influence_levels(m: Model) -> DataFrame:
     """WIN-20: topological level of every paper along citations to older ones"""
     year = m.corpus.select("paper_id", "year")
-    cites = m.citation_edges.where("etype = 'citation'").select("src", "dst")
+    cites = m.direct_edges.select("src", "dst")
     older = cites.join(year.select(F.col("paper_id").alias("src"), F.col("year").alias("a")), "src").join(year.select(F.col("paper_id").alias("dst"), F.col("year").alias("b")), "dst").where("b < a")
     arcs = G.settled(older.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "older")
     return G.topological_levels(arcs, m.corpus.select(F.col("paper_id").alias("id"))).select(F.col("id").alias("paper_id"), "level")

@@ -9,7 +9,7 @@ from quillgraph.functions import embedding as E
 from quillgraph.functions.text import STOP_WORDS
 from quillgraph.functions.vectors import dot
 from quillgraph.operators import rendering as N
-from quillgraph.plans import reasoning, reporting
+from quillgraph.plans import graphs, reasoning, reporting
 from quillgraph.plans.model import QUESTION, Model
 from quillgraph.plans.registration import r6, registrar
 
@@ -65,7 +65,7 @@ def full_text_hits(m: Model) -> DataFrame:
 def citation_chains(m: Model) -> DataFrame:
     """GRF-18: fifty chains of one to three citations, each to a work at least fifteen years older"""
     year = m.corpus.select("paper_id", "year")
-    cites = m.citation_edges.where("etype = 'citation'").select("src", "dst")
+    cites = m.direct_edges.select("src", "dst")
     older = cites.join(year.select(F.col("paper_id").alias("src"), F.col("year").alias("a")), "src").join(year.select(F.col("paper_id").alias("dst"), F.col("year").alias("b")), "dst").where("b < a - 15").select("src", "dst")
     chains = older.select(F.concat_ws(">", "src", "dst").alias("path"), F.col("dst").alias("tip"), F.lit(1).alias("hops"))
     out = chains
@@ -99,7 +99,7 @@ def _talk(m: Model) -> tuple[DataFrame, DataFrame]:
     from quillgraph.operators import reasoning as A
 
     shown = reasoning.shown(m)
-    return shown, A.connections(shown, m.citation_edges, m.semantic_edges, m.refs, m.membership)
+    return shown, A.connections(shown, *reasoning.among(m, shown), m.refs, m.membership)
 
 
 @query("select kind, case kind when 'evolution' then n >= 2 and span >= 5 when 'convergence' then n >= 2 and edges >= 1 when 'tension' then n >= 2 when 'gap' then n >= 1 else n >= 3 and niches >= 1 end as feasible from (select unnest(['evolution', 'convergence', 'tension', 'gap', 'synthesis']) as kind), (select count(*) as n, max(year) - min(year) as span from shown), (select count(*) as edges from shown a join shown b on a.rank < b.rank where exists (select 1 from combined_edges c where (c.src = a.paper_id and c.dst = b.paper_id) or (c.src = b.paper_id and c.dst = a.paper_id))), (select count(*) as niches from shown a join shown b on a.rank < b.rank join corpus x on x.paper_id = a.paper_id join corpus y on y.paper_id = b.paper_id where x.niche = y.niche)", "retrieved", "combined_edges", "corpus")
@@ -117,9 +117,7 @@ def arguments(m: Model) -> DataFrame:
 @query()
 def context_facts(m: Model) -> DataFrame:
     """ITR-22"""
-    from quillgraph.operators import causal
-
-    return N.context_facts(reasoning.shown(m), causal.oriented(m.combined_edges, m.corpus, m.citation_edges), m.membership)
+    return N.context_facts(reasoning.shown(m), graphs.influences(m), m.membership)
 
 
 @query(
