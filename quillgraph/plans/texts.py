@@ -167,9 +167,12 @@ def citation_intents(m: Model) -> DataFrame:
 )
 def annotated_citations(m: Model) -> DataFrame:
     """ITR-18, ITR-19: the kind of each citation edge, where no text mentions the cited title"""
-    p = m.corpus.select("paper_id", "embedding")
-    e = m.citation_edges.join(p.select(F.col("paper_id").alias("src"), F.col("embedding").alias("a")), "src").join(p.select(F.col("paper_id").alias("dst"), F.col("embedding").alias("b")), "dst").withColumn("sim", dot("a", "b"))
-    direct, s = F.col("etype") == "citation", F.col("sim")
+    linked = F.col("ab") | F.col("ba")
+    edge = lambda a, b, direct: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(direct).alias("direct"))
+    coupled = F.when(~linked & F.col("shared").isNotNull(), F.array(edge("a", "b", False), edge("b", "a", False)))
+    cited = F.array_compact(F.array(F.when(F.col("ab"), edge("a", "b", True)), F.when(F.col("ba"), edge("b", "a", True))))
+    e = m.pairs("a", "b", "sim", "shared", "ab", "ba", threshold=None).select(F.explode(F.coalesce(coupled, cited)).alias("e"), "sim").select("e.*", "sim")
+    direct, s = F.col("direct"), F.col("sim")
     limit = F.when(direct, 0.72).otherwise(0.68)
     confidence = F.when(direct, F.when(s > 0.72, 0.5).when(s > 0.45, 0.45).otherwise(0.35)).otherwise(F.when(s > 0.68, 0.52).otherwise(0.45))
     return e.select("src", "dst", F.when(s > limit, "supports").otherwise("mentions").alias("intent"), confidence.alias("confidence"))
