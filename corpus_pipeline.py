@@ -33,7 +33,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near-duplicates (five-word shingles, similarity 0.8): the one with the smallest doc_id."""
+    """One document of every group of near-duplicates (op7's SimHash and minhashes, verified: five-word shingles, similarity 0.8): the one with the smallest doc_id."""
     small_batches(spark)
     return nearcopies.representatives(docs)
 

@@ -1,8 +1,9 @@
 """Near-duplicate documents by the Jaccard similarity of their sets of five-word shingles, SIMILARITY or more.
 
-Texts of the same words are one class from the start. Of every class, BANDS keys are hashed from ROWS minhashes each;
+Texts of the same words are one class from the start. Classes within RADIUS bits of each other by op7's SimHash, found
+by its pivot tables, are candidates (``neardup.links``); they are few of the pairs at 0.8, so more come from minhashes. Of every class, BANDS keys are hashed from ROWS minhashes each;
 classes that share a key meet in its bucket. A pair of similarity s meets with chance 1 - (1 - s^ROWS)^BANDS: all but
-about 6 in 100,000 pairs at 0.8, and ever fewer above. A 64-bit SimHash cannot serve here: at 0.8 about ten of its
+about 6 in 100,000 pairs at 0.8, and ever fewer above. SimHash alone cannot serve: at 0.8 about ten of its
 bits differ and a radius for nearly all such pairs (19) has no bucket that pairs must share.
 
 Every link is verified by the exact similarity of the two sets. First the members of each bucket are compared with its
@@ -63,19 +64,19 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("fp", pa.int64()), ("print", pa.int64()), ("keys", pa.list_(pa.int64()))])
 _SETS = pa.schema([("fp", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, fp, keys) a document; fp is its class of equal words."""
+    """(doc_id, th, fp, print, keys) a document; fp is its class of equal words, print the SimHash that they have in common."""
 
     def run(batches):
         for batch in slices(batches):
             texts = texts_of(batch)
-            yield record(_SIGNED, doc_id=batch.column("doc_id"), th=batch.column("th"), fp=[neardup._signed(content(t)) for t in texts], keys=[band_keys(shingle_set(t)) for t in texts])
+            yield record(_SIGNED, doc_id=batch.column("doc_id"), th=batch.column("th"), fp=[neardup._signed(content(t)) for t in texts], print=[neardup._signed(neardup.fingerprint(t)) for t in texts], keys=[band_keys(shingle_set(t)) for t in texts])
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, fp long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, fp long, print long, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -138,6 +139,18 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
+def simhash_pairs(signed: DataFrame) -> DataFrame:
+    """(a, b): classes that op7's SimHash links, each print standing for its classes by one of them, b."""
+    marked = written(signed.groupBy("fp").agg(F.min("print").alias("print")), "marked")
+    heads = written(marked.groupBy("print").agg(F.min("fp").alias("head"), F.count("*").alias("n")), "print-heads")
+    total = heads.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    same = hot_join(marked, heads, "print", "n", total).where("fp <> head").select(F.col("fp").alias("a"), F.col("head").alias("b"))
+    linked = written(neardup.links(heads.select(F.col("print").alias("fp"))), "print-links")
+    end = lambda x: heads.select(F.col("print").alias(x), F.col("head").alias(f"head_{x}"))
+    other = linked.join(end("a"), "a").join(end("b"), "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    return same.unionByName(other)
+
+
 def links(docs: DataFrame, signed: DataFrame, similarity: float, classes: DataFrame) -> DataFrame:
     """(a, b): verified pairs that connect the alike classes of ``classes`` (fp, first_id, first_th)."""
     entries = written(signed.select(F.explode("keys").alias("key"), "fp").distinct(), "band-keys")
@@ -147,9 +160,12 @@ def links(docs: DataFrame, signed: DataFrame, similarity: float, classes: DataFr
     central = inside.groupBy("fp").agg(F.sum("size").alias("rank"))
     ranked = inside.join(central, "fp")
     hubs = written(ranked.groupBy("key").agg(F.max(F.struct("rank", F.col("fp").alias("hub"))).alias("m"), F.count("*").alias("n")).select("key", "m.hub", "n"), "hubs")
-    sets = written(shingle_sets(docs, classes.join(central, "fp", "left_semi").select("fp", "first_id", "first_th")), "shingles")
+    near = written(simhash_pairs(signed), "simhash-pairs")
+    wanted = central.select("fp").unionByName(near.select(F.explode(F.array("a", "b")).alias("fp"))).distinct()
+    sets = written(shingle_sets(docs, classes.join(wanted, "fp", "left_semi").select("fp", "first_id", "first_th")), "shingles")
 
-    pairs = written(hot_join(inside, hubs, "key", "n", total).where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct(), "star-pairs")
+    starred = hot_join(inside, hubs, "key", "n", total).where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
+    pairs = written(starred.unionByName(near).distinct(), "star-pairs")
     first = written(verified(pairs, sets, similarity), "star-links")
     return written(first.unionByName(across(inside, sets, neardup.connected(first), similarity)), "links")
 

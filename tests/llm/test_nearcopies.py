@@ -3,7 +3,8 @@
 import random
 
 import corpus_pipeline
-from quillgraph.llm import nearcopies
+from pyspark.sql import functions as F
+from quillgraph.llm import nearcopies, neardup
 from tests.llm.cases import documents, nothing
 
 
@@ -56,3 +57,22 @@ def test_stage_keeps_the_rest(spark):
     ids = sorted((r.doc_id for r in kept.collect()), key=lambda i: -1 if i is None else i)
     assert ids == [None, 0, 3, 4, 5, 6, 7, 8, 12, 13, 14, 16, 17, 18, 19, 20, 21, 22]  # 10 is alike to 8: 51 of 61 shingles
     assert nearcopies.representatives(nothing(spark)).count() == 0
+
+
+def test_simhash_brings_copies_together_and_links_are_verified(spark):
+    """Without any minhash key: what op7's fingerprints link, if it is alike."""
+    rng = random.Random(4)
+    texts = []
+    for _ in range(20):
+        words = [f"w{rng.randrange(5000)}" for _ in range(1000)]
+        texts += [" ".join(words), edited(rng, words, 1)]
+    texts += ["a b c a b c a b c d", "a b c a b c a b c e"]  # nearly the same bits, other sets
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    signed = nearcopies.signatures(docs).withColumn("keys", F.array().cast("array<long>"))
+    classes = signed.select("fp", F.col("doc_id").alias("first_id"), F.col("th").alias("first_th"))
+    found = {frozenset(r) for r in nearcopies.links(docs, signed, 0.8, classes).select("a", "b").collect()}
+    ids = {r.fp: r.doc_id for r in signed.collect()}
+    places = {frozenset(ids[x] for x in pair) for pair in found}
+    assert places and places <= {frozenset((2 * i, 2 * i + 1)) for i in range(20)}
+    bits = [neardup.fingerprint(t) for t in texts]
+    assert {frozenset((2 * i, 2 * i + 1)) for i in range(20) if (bits[2 * i] ^ bits[2 * i + 1]).bit_count() <= neardup.RADIUS} == places
