@@ -30,9 +30,13 @@ def namespace(source: Column, ref_id: Column) -> Column:
     )
 
 
+#: Papers of a block: of those that name a reference, two blocks meet in one task.
+CHUNK_PAPERS = layers.BLOCK_PAPERS
+
+
 def coupling(refs: DataFrame) -> DataFrame:
     """(a, b, shared, weight), a < b, of papers that share references, block against block (``layers``): no pair is shuffled."""
-    places = layers.numbered(refs.select(F.col("paper_id").alias("id")).distinct(), refs)
+    places = layers.numbered(refs.select(F.col("paper_id").alias("id")).distinct(), refs, CHUNK_PAPERS)
     return layers.pairs(places, refs, columns=("a", "b", "shared", "weight"))
 
 

@@ -50,7 +50,7 @@ def test_pairs_of_all_layers_are_the_brute_ones(world, monkeypatch, size):
 
 
 def test_coupling_in_chunks_of_a_few_cells(world, monkeypatch):
-    monkeypatch.setattr(layers, "BLOCK_PAPERS", 9)
+    monkeypatch.setattr(C, "CHUNK_PAPERS", 9)
     _, refs, _ = world[4]
     got = {(r.a, r.b): r.shared for r in C.coupling(refs).collect()}
     assert got == {(a, b): s for a, b, _, s, _, _, _ in brute(world, 99.0) if s} and C.coupling(refs.limit(0)).count() == 0
