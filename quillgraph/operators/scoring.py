@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from quillgraph.functions import signals as S
 from quillgraph.functions.store import small
 from quillgraph.functions.vectors import dot, mean_pool
-from quillgraph.operators.similarity import BLOCK_ROWS
+from quillgraph.operators import layers
+
+#: Vectors of a block of ``top_similar``, about, and those that are compared with the other block at once.
+BLOCK_ROWS, ASKED_ROWS = 6_144, 512
 
 
 def context_similarity(candidates: DataFrame, context: DataFrame) -> DataFrame:
@@ -28,16 +31,10 @@ def cluster_similarity(candidates: DataFrame, clusters: DataFrame) -> DataFrame:
 
 def citation_signal(candidates: DataFrame, corpus: DataFrame, refs: DataFrame) -> DataFrame:
     """(paper_id, citation): mean over coupled weighted papers of coupling x weight / 10 x the weaker list's support."""
-    lists = refs.select("paper_id", "ref_id").distinct()
-    sizes = lists.groupBy("paper_id").agg(F.count("*").alias("n"))
-    sizes = sizes.join(refs.groupBy("paper_id").agg(F.count_distinct("source").alias("k")), "paper_id").select("paper_id", "n", S.source_support(F.col("k")).alias("support"))
-    mine = lists.join(candidates.select("paper_id"), "paper_id", "left_semi").select(F.col("paper_id").alias("c"), "ref_id")
-    theirs = lists.join(corpus.where("weight > 0").select("paper_id"), "paper_id", "left_semi").select(F.col("paper_id").alias("m"), "ref_id")
-    overlap = mine.join(theirs, "ref_id").where("c <> m").groupBy("c", "m").agg(F.count("*").alias("k"))
-    sized = overlap.join(sizes.select(F.col("paper_id").alias("c"), F.col("n").alias("nc"), F.col("support").alias("sc")), "c")
-    sized = sized.join(sizes.select(F.col("paper_id").alias("m"), F.col("n").alias("nm"), F.col("support").alias("sm")), "m").join(corpus.select(F.col("paper_id").alias("m"), "weight"), "m")
-    part = F.col("k") / F.sqrt(F.col("nc") * F.col("nm")) * F.col("weight") / 10.0 * F.least("sc", "sm")
-    scores = sized.groupBy(F.col("c").alias("paper_id")).agg(F.avg(part).alias("citation"))
+    support = refs.groupBy(F.col("paper_id").alias("id")).agg(F.count_distinct("source").alias("k")).select("id", S.source_support(F.col("k")).alias("support"))
+    asked = candidates.select(F.col("paper_id").alias("id")).join(support, "id")
+    known = corpus.where("weight > 0").select(F.col("paper_id").alias("id"), (F.col("weight") / 10.0).alias("part")).join(support, "id")
+    scores = layers.coupled_means(asked, known, refs).select(F.col("id").alias("paper_id"), F.col("mean").alias("citation"))
     return candidates.select("paper_id").join(scores, "paper_id", "left").select("paper_id", F.coalesce("citation", F.lit(0.0)).alias("citation"))
 
 
@@ -97,13 +94,17 @@ def top_similar(candidates: DataFrame, known: DataFrame, k: int, positive: bool
         ids = np.array(table["id"].to_pylist(), object)
         v = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), table["d"][0].as_py())
         a, b = v[asked], v[~asked]
-        sims = np.zeros((len(a), len(b)))
-        for i in range(v.shape[1]):
-            sims += np.multiply.outer(a[:, i], b[:, i])
-        first = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(a)), first.shape[1])
-        places = first.ravel()
-        values = sims[rows, places]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for low in range(0, len(a), ASKED_ROWS):
+            part = a[low : low + ASKED_ROWS]
+            sims = np.zeros((len(part), len(b)))
+            for i in range(v.shape[1]):
+                sims += np.multiply.outer(part[:, i], b[:, i])
+            first = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+            rows = np.repeat(np.arange(len(part)), first.shape[1])
+            places = first.ravel()
+            found.append((rows + low, places, sims[rows, places]))
+        rows, places, values = (np.concatenate(x) for x in zip(*found))
         keep = values > 0 if positive else ~np.isnan(values)
         return pa.table([pa.array(ids[asked][rows[keep]], pa.string()), pa.array(ids[~asked][places[keep]], pa.string()), pa.array(values[keep])], names=["paper_id", "other", "sim"])
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions import signals as S
+from quillgraph.functions.store import small
 from quillgraph.functions.vectors import dot, mean_pool, unit
 
 #: The clock of all queries: 2024-02-01.
@@ -147,13 +148,17 @@ class Model:
 
     def _refs(self) -> DataFrame:
         n = self.table("embeddings").agg(F.count("*").alias("n"))
-        lines = self.table("lineitem").select("l_orderkey", "l_partkey", F.pmod("l_suppkey", F.lit(3)).alias("s")).crossJoin(F.broadcast(n))
-        part = F.col("l_partkey").cast("string")
+        # Numbers are shuffled, not names, and a paper's lines stay together, so that later groups of a paper need no rows of
+        # other tasks. A name holds six digits of a part: parts of more that begin alike are one reference.
+        lines = self.table("lineitem").select("l_orderkey", F.col("l_partkey").alias("part"), F.coalesce(F.pmod("l_suppkey", F.lit(3)), F.lit(2)).cast("int").alias("s")).crossJoin(F.broadcast(n))
+        six = F.when(F.col("s") == 0, F.substring(F.col("part").cast("string"), 1, 6).cast("long")).otherwise(F.col("part"))
+        lines = lines.select(F.pmod("l_orderkey", "n").alias("paper"), "s", six.alias("part")).repartition("paper").distinct()
+        part = F.col("part").cast("string")
         return lines.select(
-            F.concat(F.lit("p"), F.pmod("l_orderkey", "n").cast("string")).alias("paper_id"),
+            F.concat(F.lit("p"), F.col("paper").cast("string")).alias("paper_id"),
             F.when(F.col("s") == 0, "crossref").when(F.col("s") == 1, "openalex").otherwise("s2").alias("source"),
             F.when(F.col("s") == 0, F.concat(F.lit("10.1234/doc."), F.lpad(part, 6, "0"))).when(F.col("s") == 1, F.concat(F.lit("W"), part)).otherwise(F.concat(F.lit("s"), part)).alias("ref_id"),
-        ).distinct()
+        )
 
     @cached_property
     def context(self) -> DataFrame:
@@ -188,7 +193,7 @@ class Model:
 
     @cached_property
     def own_refs(self) -> DataFrame:
-        return self.refs.join(self.corpus.select("paper_id"), "paper_id", "left_semi")
+        return self.refs.join(small(self.corpus.select("paper_id")), "paper_id", "left_semi")
 
     @cached_property
     def direct_edges(self) -> DataFrame:
