@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,10 +27,26 @@ def folder(spark: SparkSession) -> str:
     return _OWN[0]
 
 
+#: Spark's switch for the shuffle files of a query that has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries that run inside go as each ends, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read from a written table: the lineage ends here."""
+    """The same rows, read from a written table: the lineage ends here, and its shuffle files with it."""
     path = f"{folder(df.sparkSession)}/quillgraph/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with passing(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

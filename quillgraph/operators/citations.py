@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.signals import edge_confidence
-from quillgraph.functions.store import small
+from quillgraph.functions.store import settled, small
 from quillgraph.operators import layers
 
 SOURCE_PRIORITY = ("crossref", "openalex", "s2")
+#: Identifiers of papers up to which they are broadcast to the references, about 60 bytes each.
+TARGET_ROWS = 300_000
 
 
 def normalised_doi(doi: Column) -> Column:
@@ -51,7 +53,7 @@ def direct_citations(papers: DataFrame, refs: DataFrame) -> DataFrame:
     """(src, dst, evidence): the corpus papers that a paper's references name, with the number of sources that say so."""
     own = refs.join(papers.select("paper_id"), "paper_id", "left_semi")
     keyed = own.withColumn("ns", namespace(F.col("source"), F.col("ref_id"))).withColumn("key", F.when(F.col("ns") == "doi", normalised_doi(F.col("ref_id"))).otherwise(F.trim("ref_id")))
-    named = keyed.join(internal_targets(papers), ["ns", "key"]).where("target <> paper_id")
+    named = keyed.join(small(internal_targets(papers), TARGET_ROWS), ["ns", "key"]).where("target <> paper_id")
     return named.groupBy(F.col("paper_id").alias("src"), F.col("target").alias("dst")).agg(F.count_distinct("source").alias("evidence"))
 
 
@@ -88,7 +90,7 @@ def _one(c: str) -> Column:
 
 def _with_sources(edges: DataFrame, refs: DataFrame, a: str, b: str) -> DataFrame:
     """The edges with the number of sources of each end, as sa and sb."""
-    counts = small(refs.groupBy("paper_id").agg(F.count_distinct("source").alias("n")))
+    counts = small(settled(refs.groupBy("paper_id").agg(F.count_distinct("source").alias("n")), "source-counts"))
     return edges.join(counts.select(F.col("paper_id").alias(a), F.col("n").alias("sa")), a, "left").join(counts.select(F.col("paper_id").alias(b), F.col("n").alias("sb")), b, "left")
 
 

@@ -96,14 +96,8 @@ def top_similar(candidates: DataFrame, known: DataFrame, k: int, positive: bool
         a, b = v[asked], v[~asked]
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         for low in range(0, len(a), ASKED_ROWS):
-            part = a[low : low + ASKED_ROWS]
-            sims = np.zeros((len(part), len(b)))
-            for i in range(v.shape[1]):
-                sims += np.multiply.outer(part[:, i], b[:, i])
-            first = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(len(part)), first.shape[1])
-            places = first.ravel()
-            found.append((rows + low, places, sims[rows, places]))
+            rows, places, values = _nearest(a[low : low + ASKED_ROWS], b, k)
+            found.append((rows + low, places, values))
         rows, places, values = (np.concatenate(x) for x in zip(*found))
         keep = values > 0 if positive else ~np.isnan(values)
         return pa.table([pa.array(ids[asked][rows[keep]], pa.string()), pa.array(ids[~asked][places[keep]], pa.string()), pa.array(values[keep])], names=["paper_id", "other", "sim"])
@@ -113,6 +107,28 @@ def top_similar(candidates: DataFrame, known: DataFrame, k: int, positive: bool
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _nearest(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, product): for each row of a the k largest products, largest first, ties to the earlier row of b.
+
+    A matrix product, which may be off by rounding, finds who can be among the k; only their products are added up
+    dimension by dimension.
+    """
+    rough = a @ b.T
+    if len(b) > k and np.isfinite(rough).all():
+        rounding = 4 * (a.shape[1] + 1) * np.finfo(float).eps * np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1).max()
+        least = np.partition(rough, len(b) - k, axis=1)[:, len(b) - k]
+        rows, places = np.nonzero(rough >= (least - rounding)[:, None])
+    else:
+        rows, places = np.divmod(np.arange(rough.size), max(len(b), 1))
+    sims = np.zeros(len(rows))
+    for i in range(a.shape[1]):
+        sims += a[rows, i] * b[places, i]
+    order = np.lexsort((places, -sims, rows))  # places without a number come last
+    rows, places, sims = rows[order], places[order], sims[order]
+    first = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[first], places[first], sims[first]
+
+
 def novelty(candidates: DataFrame, corpus: DataFrame, clusters: DataFrame) -> DataFrame:
     """(paper_id, novelty): one minus the mean of the three best cosines with papers and centroids."""
     known = corpus.select(F.col("paper_id").alias("other"), F.col("embedding").alias("v")).unionByName(clusters.select(F.col("cluster_id").alias("other"), F.col("centroid").alias("v")))
@@ -141,8 +157,8 @@ def cold_start(candidates: DataFrame, corpus: DataFrame, context: DataFrame, now
 def signal_table(model, wanted: DataFrame, now_year: int, as_of: float, mass: DataFrame) -> DataFrame:
     """(paper_id, signals, mask): the fourteen signals of the wanted papers and which of them each can supply."""
     parts = [
-        context_similarity(wanted, model.context), cluster_similarity(wanted, model.clusters), citation_signal(wanted, model.corpus, model.refs),
-        favourites_similarity(wanted, model.corpus), network_signal(wanted, model.corpus, mass),
+        context_similarity(wanted, model.context), cluster_similarity(wanted, model.clusters), citation_signal(wanted, model.known, model.refs),
+        favourites_similarity(wanted, model.known), network_signal(wanted, model.known, mass),
     ]
     sections = model.sections.join(wanted.select("paper_id"), "paper_id", "left_semi")
     optional = [section_signals(sections, section_contexts(model.sections.where("role = 'corpus'"), as_of)), equation_signal(model.equations, wanted, as_of)]

@@ -50,13 +50,13 @@ class Model:
         found = [(p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p) for p in paths]
         return tuple((fs.getContentSummary(p).getLength(), fs.getFileStatus(p).getModificationTime()) for fs, p in found)
 
-    def shared(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        """A layer as a written table, made once for each application and version of the tables."""
+    def shared(self, name: str, make: Callable[[], DataFrame], written: bool = False) -> DataFrame:
+        """A layer as a written table, made once for each application and version of the tables. ``written``: by ``make``."""
         from quillgraph.functions.store import settled
 
         key = (self.spark.sparkContext.applicationId, self.sf_dir, self.version, name)
         if key not in _SHARED:
-            _SHARED[key] = settled(make(), name)
+            _SHARED[key] = make() if written else settled(make(), name)
         return _SHARED[key]
 
     def table(self, name: str) -> DataFrame:
@@ -66,6 +66,11 @@ class Model:
     def papers(self) -> DataFrame:
         return self.shared("papers", self._papers)
 
+    @cached_property
+    def facts(self) -> DataFrame:
+        """``papers`` without title and abstract, for all that reads no texts: those of the documents are neither shuffled nor written."""
+        return self.shared("facts", lambda: self._papers().drop("title", "abstract"))
+
     def _papers(self) -> DataFrame:
         docs = self.table("documents").select("doc_id", "text")
         v = F.col("vec_id")
@@ -110,16 +115,26 @@ class Model:
     def candidates(self) -> DataFrame:
         return self.papers.where("role = 'candidate'")
 
+    @cached_property
+    def known(self) -> DataFrame:
+        """``corpus`` without texts."""
+        return self.facts.where("role = 'corpus'")
+
+    @cached_property
+    def found(self) -> DataFrame:
+        """``candidates`` without texts."""
+        return self.facts.where("role = 'candidate'")
+
     @cached_property
     def membership(self) -> DataFrame:
         """(paper_id, level, cluster_id) of the corpus."""
         levels = F.explode(F.array(F.struct(F.lit(1).alias("level"), F.col("niche").alias("cluster_id")), F.struct(F.lit(2).alias("level"), F.col("area").alias("cluster_id"))))
-        return self.corpus.select("paper_id", levels.alias("m")).select("paper_id", "m.*")
+        return self.known.select("paper_id", levels.alias("m")).select("paper_id", "m.*")
 
     @cached_property
     def clusters(self) -> DataFrame:
         """(level, cluster_id, size, weight, high, centroid): centroids are unit means."""
-        members = self.membership.join(self.corpus.select("paper_id", "embedding", "weight", "user_rating"), "paper_id").withColumn("one", F.lit(1.0))
+        members = self.membership.join(self.known.select("paper_id", "embedding", "weight", "user_rating"), "paper_id").withColumn("one", F.lit(1.0))
         return self.shared("clusters", lambda: self._clusters(members))
 
     def _clusters(self, members: DataFrame) -> DataFrame:
@@ -134,12 +149,12 @@ class Model:
         rule = lambda name, test, vector: F.when(test, F.struct(F.lit(name).alias("section_type"), vector.alias("vector")))
         o = F.col("ordinal")
         parts = F.array_compact(F.array(rule("methods", F.pmod(o, F.lit(2)) == 0, F.reverse("embedding")), rule("results", F.pmod(o, F.lit(3)) != 1, F.col("embedding")), rule("discussion", F.pmod(o, F.lit(4)) == 1, half)))
-        return self.papers.select("paper_id", "ordinal", "role", "user_rating", "rated_at", F.explode(parts).alias("s")).select("paper_id", "ordinal", "role", "user_rating", "rated_at", "s.*")
+        return self.facts.select("paper_id", "ordinal", "role", "user_rating", "rated_at", F.explode(parts).alias("s")).select("paper_id", "ordinal", "role", "user_rating", "rated_at", "s.*")
 
     @cached_property
     def equations(self) -> DataFrame:
         half = F.concat(F.slice("embedding", 33, 32), F.slice("embedding", 1, 32))
-        return self.papers.where("pmod(ordinal, 4) = 1 or pmod(ordinal, 6) = 3").select("paper_id", "role", "user_rating", "rated_at", half.alias("vector"))
+        return self.facts.where("pmod(ordinal, 4) = 1 or pmod(ordinal, 6) = 3").select("paper_id", "role", "user_rating", "rated_at", half.alias("vector"))
 
     @cached_property
     def refs(self) -> DataFrame:
@@ -163,7 +178,7 @@ class Model:
     @cached_property
     def context(self) -> DataFrame:
         """One row: the user's context vector, from weighted papers, niches (half weight) and areas (quarter)."""
-        papers = self.corpus.where("weight > 0").select("weight", "embedding")
+        papers = self.known.where("weight > 0").select("weight", "embedding")
         share = F.when(F.col("level") == 1, 0.5).otherwise(0.25)
         clusters = self.clusters.where("weight > 0").select((F.col("weight") * share).alias("weight"), F.col("centroid").alias("embedding"))
         return self.shared("context", lambda: mean_pool(papers.unionByName(clusters), "embedding", "weight").withColumnRenamed("pooled", "context"))
@@ -189,31 +204,31 @@ class Model:
         """(id, block, idx) of the corpus, for ``layers``."""
         from quillgraph.operators import layers
 
-        return self.shared("places", lambda: layers.numbered(self.corpus.select(F.col("paper_id").alias("id")), self.refs))
+        return self.shared("places", lambda: layers.numbered(self.known.select(F.col("paper_id").alias("id")), self.refs), written=True)
 
     @cached_property
     def own_refs(self) -> DataFrame:
-        return self.refs.join(small(self.corpus.select("paper_id")), "paper_id", "left_semi")
+        return self.refs.join(small(self.known.select("paper_id")), "paper_id", "left_semi")
 
     @cached_property
     def direct_edges(self) -> DataFrame:
         """The direct citations of ``citation_edges``."""
         from quillgraph.operators.citations import direct_edges
 
-        return self.shared("direct-edges", lambda: direct_edges(self.corpus, self.refs))
+        return self.shared("direct-edges", lambda: direct_edges(self.known, self.refs))
 
     def pairs(self, *columns: str, refs: bool = True, vectors: bool = True, threshold: float | None = SEMANTIC) -> DataFrame:
         """Pairs of corpus papers in all layers (``layers.pairs``), in one pass and not written: many times the papers."""
         from quillgraph.operators import layers
 
-        embedded = self.corpus.select(F.col("paper_id").alias("id"), "embedding") if vectors else None
+        embedded = self.known.select(F.col("paper_id").alias("id"), "embedding") if vectors else None
         return layers.pairs(self.places, self.own_refs if refs else None, embedded, threshold if vectors else None, self.direct_edges, columns)
 
     def packed(self, overlay: bool) -> DataFrame:
         from quillgraph.operators import layers
 
-        embedded = self.corpus.select(F.col("paper_id").alias("id"), "embedding")
-        return self.shared(f"packed-{overlay}", lambda: layers.packed(self.places, self.own_refs, embedded, SEMANTIC, self.direct_edges, overlay))
+        embedded = self.known.select(F.col("paper_id").alias("id"), "embedding")
+        return self.shared(f"packed-{overlay}", lambda: layers.packed(self.places, self.own_refs, embedded, SEMANTIC, self.direct_edges, overlay), written=True)
 
     @cached_property
     def citation_edges(self) -> DataFrame:

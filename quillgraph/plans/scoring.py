@@ -107,12 +107,12 @@ CTES["relevance"] = (
 
 
 def mass(m: Model) -> DataFrame:
-    restart = m.corpus.where("weight > 0").select(F.col("paper_id").alias("id"), "weight")
+    restart = m.known.where("weight > 0").select(F.col("paper_id").alias("id"), "weight")
     return m.shared("mass", lambda: G.packed_mass(m.places, m.packed(overlay=False), restart, rounds=R.PPR_ROUNDS))
 
 
 def scored(m: Model, wanted: DataFrame | None = None) -> DataFrame:
-    return Q.fused(Q.signal_table(m, m.candidates if wanted is None else wanted, AS_OF_YEAR, AS_OF, mass(m)))
+    return Q.fused(Q.signal_table(m, m.found if wanted is None else wanted, AS_OF_YEAR, AS_OF, mass(m)))
 
 
 def relevance(m: Model) -> DataFrame:
@@ -191,7 +191,7 @@ def sig_clusters(m: Model) -> DataFrame:
 @query("select paper_id, round(citation, 6) as citation from sig_citation", "sig_citation")
 def sig_citation(m: Model) -> DataFrame:
     """SIG-15"""
-    return Q.citation_signal(m.candidates, m.corpus, m.refs).select("paper_id", r6(F.col("citation"), "citation"))
+    return Q.citation_signal(m.found, m.known, m.refs).select("paper_id", r6(F.col("citation"), "citation"))
 
 
 @query("select paper_id, round(snf, 6) as snf from sig_snf", "sig_snf")
@@ -222,7 +222,7 @@ def network_mass(m: Model) -> DataFrame:
 @query("select paper_id, round(ppr, 6) as ppr from sig_ppr", "sig_ppr")
 def sig_network(m: Model) -> DataFrame:
     """SIG-19"""
-    return Q.network_signal(m.candidates, m.corpus, mass(m)).select("paper_id", r6(F.col("ppr"), "ppr"))
+    return Q.network_signal(m.found, m.known, mass(m)).select("paper_id", r6(F.col("ppr"), "ppr"))
 
 
 @query("select paper_id, unnest(list_transform(signals, lambda s: round(s, 6))) as value, unnest(mask) as supplied, generate_subscripts(signals, 1) - 1 as position from signals", "signals")
