@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +15,8 @@ MIN_RATINGS = 8
 ENSEMBLE = 12
 ENSEMBLE_RATINGS = 10
 SEED = 12345
-#: Rated papers used for fitting at most: those rated last.
-MAX_RATED = 20_000
+#: Ratings that a step of the fit takes at once.
+FIT_ROWS = 65_536
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, counts: np.ndarray | None = None, steps: int = 200, rate: float = 0.5, penalty: float = 0.1, floor: float = 0.05) -> np.ndarray:
@@ -26,9 +27,13 @@ def fit_weights(x: np.ndarray, y: np.ndarray, counts: np.ndarray | None = None,
     times = np.ones((1, len(y))) if counts is None else counts
     share = times / times.sum(1, keepdims=True)
     w = np.ones((len(times), x.shape[1]))
+    parts = [slice(at, at + FIT_ROWS) for at in range(0, len(y), FIT_ROWS)]
     for _ in range(steps):
-        miss = 1 / (1 + np.exp(-np.clip(w @ x.T, -20, 20))) - y
-        w -= rate * ((share * miss) @ x + penalty * w)
+        slope = penalty * w
+        for p in parts:
+            miss = 1 / (1 + np.exp(-np.clip(w @ x[p].T, -20, 20))) - y[p]
+            slope += (share[:, p] * miss) @ x[p]
+        w -= rate * slope
     w = np.maximum(w, floor)
     w *= sum(SIGNAL_WEIGHTS[: x.shape[1]]) / w.sum(1, keepdims=True)
     return w if counts is not None else w[0]
@@ -47,14 +52,23 @@ def ensemble(x: np.ndarray, y: np.ndarray, members: int = ENSEMBLE, seed: int =
 
 
 def rated_matrix(signals: DataFrame, ratings: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signals, labels (7 and above) and ratings of at most MAX_RATED rated papers, in order of id."""
-    rows = signals.join(ratings.select("paper_id", "user_rating", "rated_at"), "paper_id").where("user_rating is not null").orderBy(F.desc("rated_at"), "paper_id").limit(MAX_RATED).collect()
-    rows.sort(key=lambda r: r.paper_id)
-    x = np.array([r.signals for r in rows], float)
-    r = np.array([r.user_rating for r in rows], float)
+    """Signals, labels (7 and above) and ratings of all rated papers, in order of id; the driver gets columns, not a row object each."""
+    found = signals.join(ratings.select("paper_id", "user_rating"), "paper_id").where("user_rating is not null").select("paper_id", "signals", F.col("user_rating").cast("double").alias("r"))
+    rows = found.toArrow().sort_by("paper_id").combine_chunks()
+    n, flat = rows.num_rows, pc.list_flatten(rows["signals"]).to_numpy()
+    x, r = flat.reshape(n, len(flat) // n if n else len(SIGNAL_WEIGHTS)), rows["r"].to_numpy()
     return x, (r >= 7).astype(float), r
 
 
+def auc(good: np.ndarray, bad: np.ndarray) -> float:
+    """Share of the pairs in which the good one is ahead, ties half, by places among the sorted; 0 where a side is empty."""
+    if not len(good) or not len(bad):
+        return 0.0
+    bad = np.sort(bad)
+    ahead = int((np.searchsorted(bad, good) + np.searchsorted(bad, good, "right") - len(bad)).sum())
+    return (ahead / (len(good) * len(bad)) + 1) / 2
+
+
 def learned(signals: DataFrame, ratings: DataFrame) -> tuple[np.ndarray | None, np.ndarray | None]:
     """(weights, ensemble), or none where there are too few ratings, liked papers (7 up) or disliked ones (4 down)."""
     x, y, r = rated_matrix(signals, ratings)
